@@ -1,8 +1,8 @@
-"""Detection: documents to masked findings."""
+"""Detection: documents to findings, in one pass over the text and without a shuffle."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from veilscan.config import DEFAULT, Settings
 from veilscan.functions import masking
@@ -10,56 +10,67 @@ from veilscan.operators import resolve as RS, spans as SP
 from veilscan.operators.rules import Rule
 
 
-def raw_findings(docs: DataFrame, settings: Settings = DEFAULT, id_col: str = "doc_id",
-                 text_col: str = "text", extra_spans: DataFrame | None = None,
-                 rules: tuple[Rule, ...] | None = None) -> DataFrame:
-    """Resolved findings that still carry the raw value. Do not write this frame anywhere.
+def with_raw_findings(docs: DataFrame, settings: Settings = DEFAULT, text_col: str = "text",
+                      extra_spans: Column | None = None, rules: tuple[Rule, ...] | None = None) -> DataFrame:
+    """The documents plus ``found``: resolved findings that still carry the raw value.
 
-    ``extra_spans`` adds candidates from outside the rule table, see ``operators.ner``.
+    Do not write this frame. ``extra_spans`` is an array column of further candidates, for
+    instance from ``operators.ner``.
     """
-    found = SP.candidates(docs, settings, id_col, text_col, rules)
-    if extra_spans is not None:
-        found = found.unionByName(extra_spans)
-    return RS.resolve(found, id_col)
+    spotted = SP.with_spans(docs, settings, text_col, rules)
+    spans = F.col("spans") if extra_spans is None else F.concat("spans", extra_spans)
+    return SP.stage(spotted, "found", RS.resolve(spans)).drop("spans")
+
+
+def masked(found: Column) -> Column:
+    """Findings as they may be stored: (start, end, entity_type, masked_value, confidence)."""
+    return F.transform(found, lambda f: F.struct(
+        f["start"].alias("start"), f["end"].alias("end"), f["entity_type"].alias("entity_type"),
+        masking.mask_value(f["value"], f["entity_type"]).alias("masked_value"),
+        f["score"].alias("confidence")))
 
 
-def masked_findings(raw: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Findings as they may be stored: masked value, no raw one."""
-    return raw.select(
-        id_col, "entity_type", F.col("score").alias("confidence"),
-        masking.mask_value(F.col("value"), F.col("entity_type")).alias("masked_value"), "start", "end")
+def with_findings(docs: DataFrame, settings: Settings = DEFAULT, text_col: str = "text",
+                  extra_spans: Column | None = None) -> DataFrame:
+    """The documents plus ``findings``, an array of masked findings in text order."""
+    raw = with_raw_findings(docs, settings, text_col, extra_spans)
+    return SP.stage(raw, "findings", masked(F.col("found"))).drop("found")
+
+
+def explode_findings(docs: DataFrame, id_col: str = "doc_id", column: str = "findings") -> DataFrame:
+    """One row per finding."""
+    return docs.select(id_col, F.inline(column))
 
 
 def findings(docs: DataFrame, settings: Settings = DEFAULT, id_col: str = "doc_id",
-             text_col: str = "text", extra_spans: DataFrame | None = None) -> DataFrame:
-    """Masked findings: (id, entity_type, confidence, masked_value, start, end)."""
-    return masked_findings(raw_findings(docs, settings, id_col, text_col, extra_spans), id_col)
+             text_col: str = "text") -> DataFrame:
+    """Masked findings as rows: (id, start, end, entity_type, masked_value, confidence)."""
+    return explode_findings(with_findings(docs.select(id_col, text_col), settings, text_col), id_col)
+
+
+def raw_findings(docs: DataFrame, settings: Settings = DEFAULT, id_col: str = "doc_id",
+                 text_col: str = "text") -> DataFrame:
+    """Unmasked findings as rows, for identifier counting inside one job. Do not write it."""
+    found = with_raw_findings(docs.select(id_col, text_col), settings, text_col)
+    return explode_findings(found, id_col, "found")
+
+
+def collect_findings(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows back to one array per document, for findings that come from a table."""
+    one = F.struct("start", "end", "entity_type", "masked_value", "confidence")
+    return found.groupBy(id_col).agg(F.array_sort(F.collect_list(one)).alias("findings"))
 
 
-def with_digests(raw: DataFrame, settings: Settings = DEFAULT, key: bytes | None = None,
-                 id_col: str = "doc_id") -> DataFrame:
-    """Masked findings plus ``id_group`` and ``digest`` (NULL for types that identify nobody).
+def digests(raw: DataFrame, settings: Settings = DEFAULT, key: bytes | None = None) -> DataFrame:
+    """Keyed digests of the findings that identify somebody: (id_group, digest).
 
     The key is drawn per call and kept nowhere, so digests only compare within one scan.
     """
     groups = ["PHONE" if t in ("IN_PHONE", "PHONE_NUMBER") else t for t in settings.identifier_types]
     keys = masking.key_table(raw.sparkSession, list(dict.fromkeys(groups)), key)
-    kind, value = F.col("entity_type"), F.col("value")
-    grouped = raw.withColumn("id_group", F.when(
-        kind.isin(*settings.identifier_types), masking.identifier_group(kind)))
-    joined = grouped.join(F.broadcast(keys), "id_group", "left")
-    digest = masking.keyed_digest(F.col("id_group"), masking.normalise_identifier(value, kind),
-                                  F.col("inner_pad"), F.col("outer_pad"))
-    return joined.select(
-        id_col, "entity_type", F.col("score").alias("confidence"),
-        masking.mask_value(value, kind).alias("masked_value"), "start", "end", "id_group",
-        digest.alias("digest"))
-
-
-def attach(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Documents with their findings as an array in text order (empty when there are none)."""
-    one = F.struct("start", "end", "entity_type", "masked_value", "confidence")
-    per_doc = found.groupBy(id_col).agg(F.array_sort(F.collect_list(one)).alias("findings"))
-    empty = F.array().cast("array<struct<start:int,end:int,entity_type:string,masked_value:string,"
-                           "confidence:decimal(4,3)>>")
-    return docs.join(per_doc, id_col, "left").withColumn("findings", F.coalesce("findings", empty))
+    kind = F.col("entity_type")
+    named = raw.where(kind.isin(*settings.identifier_types)).select(
+        masking.identifier_group(kind).alias("id_group"),
+        masking.normalise_identifier(F.col("value"), kind).alias("normal"))
+    return named.join(F.broadcast(keys), "id_group").select("id_group", masking.keyed_digest(
+        F.col("id_group"), F.col("normal"), F.col("inner_pad"), F.col("outer_pad")).alias("digest"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from veilscan import fixed_values as fv
 from veilscan.config import DEFAULT, Settings
@@ -19,9 +19,9 @@ from veilscan.operators.spans import SCORE
 Tagger = Callable[[str], Iterable[tuple[str, int, int, float]]]
 
 
-def ner_spans(docs: DataFrame, factory: Callable[[], Tagger], settings: Settings = DEFAULT,
-              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Candidate spans of a tagger, in the shape of ``spans.candidates``."""
+def with_ner_spans(docs: DataFrame, factory: Callable[[], Tagger], settings: Settings = DEFAULT,
+                   text_col: str = "text") -> DataFrame:
+    """The documents plus ``ner_spans``: candidates of a tagger, in the shape of ``spans``."""
 
     @F.pandas_udf("array<struct<label:string,start:int,end:int,score:double>>")
     def tag(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -29,20 +29,20 @@ def ner_spans(docs: DataFrame, factory: Callable[[], Tagger], settings: Settings
         for texts in batches:
             yield texts.map(lambda t: [
                 {"label": label, "start": start, "end": end, "score": score}
-                for label, start, end, score in tagger(t)])
+                for label, start, end, score in (tagger(t) if t and t.strip() else ())])
 
     kinds = F.create_map(*[F.lit(x) for pair in fv.NER_LABELS.items() for x in pair])
-    tagged = (
-        docs.where(F.trim(F.col(text_col)) != "")
-        .withColumn("_spans", tag(F.col(text_col)))
-        .withColumn("_span", F.explode("_spans"))
-    )
     wanted = [e for e in settings.entities if e in fv.NER_TYPES]
-    return tagged.select(
-        id_col,
-        F.try_element_at(kinds, F.col("_span.label")).alias("entity_type"),
-        F.col("_span.start").alias("start"), F.col("_span.end").alias("end"),
-        F.col("_span.score").cast(SCORE).alias("score"), F.lit(False).alias("weak_card"),
-        F.substring(F.col(text_col), F.col("_span.start") + 1,
-                    F.col("_span.end") - F.col("_span.start")).alias("value"),
-    ).where(F.col("entity_type").isin(*wanted) & (F.col("score") >= settings.min_score))
+    text = F.col(text_col)
+
+    def shape(s: Column) -> Column:
+        return F.struct(
+            s["start"].alias("start"), s["end"].alias("end"),
+            F.try_element_at(kinds, s["label"]).alias("entity_type"),
+            s["score"].cast(SCORE).alias("score"), F.lit(False).alias("weak_card"),
+            F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("value"))
+
+    least = F.lit(settings.min_score).cast(SCORE)
+    shaped = F.filter(F.transform(F.col("_tagged"), shape),
+                      lambda s: s["entity_type"].isin(*wanted) & (s["score"] >= least))
+    return docs.withColumn("_tagged", tag(text)).withColumn("ner_spans", shaped).drop("_tagged")

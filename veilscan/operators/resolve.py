@@ -1,14 +1,14 @@
 """Overlap resolution: from candidate spans to findings that never overlap.
 
-Only spans that overlap, directly or through others, can influence each other. So spans of a
-document are cut into islands (maximal runs of overlapping spans) with one ordered window, and
-each island, usually one to five spans, is folded on its own. One shuffle by document id moves
-spans only, never text, and the grouping by (document, island) reuses that partitioning.
+Only spans that overlap, directly or through others, can influence each other. So the spans of
+a document are cut into islands (maximal runs of overlapping spans), and each island, usually
+one to five spans, is folded on its own. Spans of a document sit in one array, so this needs
+no shuffle, and the cost grows with the spans and not with their pairs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, functions as F
 
 from veilscan import fixed_values as fv
 from veilscan.operators.spans import is_ner, let
@@ -68,10 +68,14 @@ def _ranked(xs: Column) -> Column:
 
 def _greedy(ranked: Column) -> Column:
     """Keep a span unless it overlaps one already kept."""
+    return let(ranked, lambda bound: _keep(F.slice(bound, 1, 0), bound))
+
+
+def _keep(kept: Column, more: Column) -> Column:
     return F.aggregate(
-        ranked, F.slice(ranked, 1, 0),
-        lambda kept, x: F.when(F.exists(kept, lambda k: overlaps(k, x)), kept).otherwise(
-            F.concat(kept, F.array(x))))
+        more, kept,
+        lambda acc, x: F.when(F.exists(acc, lambda k: overlaps(k, x)), acc).otherwise(
+            F.concat(acc, F.array(x))))
 
 
 def _trimmed(x: Column, fixed: Column) -> Column:
@@ -93,7 +97,7 @@ def _trimmed(x: Column, fixed: Column) -> Column:
                         x["entity_type"].alias("entity_type"), x["score"].alias("score"), core.alias("value"))
 
     inside = F.filter(fixed, lambda k: overlaps(k, x))
-    return let(longest(inside), strip)
+    return let(inside, lambda bound: let(longest(bound), strip))
 
 
 def _sensible(x: Column) -> Column:
@@ -108,10 +112,7 @@ def fold_island(xs: Column) -> Column:
     def with_ner(fixed: Column, merged: Column) -> Column:
         fuzzy = _ranked(F.filter(merged, lambda x: is_ner(x["entity_type"])))
         pieces = F.filter(F.transform(fuzzy, lambda x: _trimmed(x, fixed)), _sensible)
-        return F.aggregate(
-            pieces, fixed,
-            lambda kept, x: F.when(F.exists(kept, lambda k: overlaps(k, x)), kept).otherwise(
-                F.concat(kept, F.array(x))))
+        return _keep(fixed, pieces)
 
     def resolve(merged: Column) -> Column:
         solid = F.filter(merged, lambda x: ~is_ner(x["entity_type"]))
@@ -121,25 +122,51 @@ def fold_island(xs: Column) -> Column:
     return let(_merge_generic(xs), lambda m: let(_drop_weak_cards(m), resolve))
 
 
-def islands(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Number the islands of overlapping spans of each document."""
-    order = Window.partitionBy(id_col).orderBy("start", "end", "score", "entity_type", "value")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(F.col("start") >= F.coalesce(reach, F.lit(0)), 1).otherwise(0)
-    return spans.withColumn("_opens", opens).withColumn(
-        "island", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
+_BLOCK = 64
+
+
+def _reach(ends: Column) -> Column:
+    """For every index the largest end in front of it, through blocks of ``_BLOCK``."""
+    last = F.floor((F.size(ends) - 1) / _BLOCK).cast("int")
+    tops = F.transform(F.sequence(F.lit(0), last),
+                       lambda b: F.array_max(F.slice(ends, b * _BLOCK + 1, F.lit(_BLOCK))))
+
+    def before(tops: Column) -> Column:
+        prior = F.transform(tops, lambda _, b: F.coalesce(F.array_max(F.slice(tops, F.lit(1), b)), F.lit(0)))
+        return let(prior, lambda p: F.transform(ends, lambda _, i: F.greatest(
+            F.element_at(p, F.floor(i / _BLOCK).cast("int") + 1),
+            F.array_max(F.slice(ends, F.floor(i / _BLOCK).cast("int") * _BLOCK + 1, i % _BLOCK)))))
+
+    return let(tops, before)
+
 
+def _islands(xs: Column) -> Column:
+    """Sorted spans cut where nothing before reaches over the start of the next one."""
 
-def resolve(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Findings without overlaps: the id, ``entity_type``, ``start``, ``end``, ``score``, ``value``.
+    def cut(reach: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(xs) - 1)
+        heads = F.filter(places, lambda i: F.get(xs, i)["start"] >= F.get(reach, i))
+        return let(heads, lambda hs: F.transform(hs, lambda h, k: F.slice(
+            xs, h + 1, F.coalesce(F.get(hs, k + 1), F.size(xs)) - h)))
 
-    ``spans`` has the columns of :func:`veilscan.operators.spans.candidates`.
+    ends = F.transform(xs, lambda x: x["end"])
+    return let(ends, lambda bound: let(_reach(bound), cut))
+
+
+def _as_finding(x: Column) -> Column:
+    return F.struct(*[x[f].alias(f) for f in ("start", "end", "entity_type", "score", "value")])
+
+
+def resolve(spans: Column) -> Column:
+    """Findings without overlaps, in text order, from an array of candidate spans.
+
+    In: (start, end, entity_type, score, weak_card, value). Out: the same without weak_card.
+    The whole struct is the sort key, so the order is total and results are deterministic.
     """
-    one = F.struct("start", "end", "entity_type", "score", "weak_card", "value")
-    return (
-        islands(spans, id_col)
-        .groupBy(id_col, "island")
-        .agg(F.array_sort(F.collect_list(one)).alias("xs"))
-        .select(id_col, F.inline(fold_island(F.col("xs"))))
-        .select(id_col, "entity_type", "start", "end", "score", "value")
-    )
+
+    def one(island: Column) -> Column:
+        lone = (F.size(island) == 1) & ~is_ner(F.get(island, 0)["entity_type"])
+        return F.when(lone, F.transform(island, _as_finding)).otherwise(fold_island(island))
+
+    folded = let(F.array_sort(spans), lambda xs: F.flatten(F.transform(_islands(xs), one)))
+    return F.when(F.size(spans) > 0, folded).otherwise(F.transform(F.slice(spans, 1, 0), _as_finding))

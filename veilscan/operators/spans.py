@@ -5,14 +5,14 @@ inside built-in expressions and reads the text once, in one narrow stage without
 
 1. per rule, ``regexp_replace`` puts a marker around every match and ``split`` cuts there, so
    the odd pieces are the matches and the even ones the gaps between them;
-2. a generator turns the rules that hit into rows (rule, pieces) and drops the text;
-3. the start of a match is the summed length of the pieces before it. Sums go through blocks
+2. the start of a match is the summed length of the pieces before it. Sums go through blocks
    of 64 pieces, so a document with very many matches does not cost the square of their number;
-4. a second generator turns the pieces into span rows, on which validators and context tests
-   are ordinary columns.
+3. validators and context tests score each span, and what falls below the minimum is dropped.
 
-The two generators also keep the optimizer from copying the piece expressions into every
-place they are used, which is what makes a one-projection form explode.
+The spans stay in an array next to the document, so nothing has to be joined back.
+
+An expression that a lambda refers to is evaluated once per element when the optimizer copies
+it into the lambda. ``let`` and ``stage`` bind a value once and keep that from happening.
 """
 
 from __future__ import annotations
@@ -35,6 +35,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def stage(df: DataFrame, column: str, value: Column) -> DataFrame:
+    """Add a column behind a one-row generator, which the optimizer does not collapse."""
+    return df.select("*", F.explode(F.array(value)).alias(column))
+
+
 def _block_starts(lengths: Column) -> Column:
     """Summed length in front of every block of ``_BLOCK`` pieces."""
     last = F.floor((F.size(lengths) - 1) / _BLOCK).cast("int")
@@ -85,30 +90,9 @@ def _pieces(text: Column, rule: R.Rule) -> Column:
     return F.when(F.col("_gate_" + rule.gate) & found if rule.gate else found, cut)
 
 
-def matches(docs: DataFrame, rules: tuple[R.Rule, ...], id_col: str = "doc_id",
-            text_col: str = "text", context_boost: float = 0.0) -> DataFrame:
-    """Every match of every rule: (id, rule number, start, end, value, before, after)."""
-    windowed = [i for i, r in enumerate(rules)
-                if r.context or r.adjust or r.entity == "CREDIT_CARD" or (r.boost_words and context_boost)]
-    hits = F.array(*[F.struct(F.lit(i).alias("rule"), _pieces(F.col("_text"), r).alias("parts"))
-                     for i, r in enumerate(rules)])
-    gates = [F.col("_text").rlike(R.GATES[g]).alias("_gate_" + g)
-             for g in dict.fromkeys(r.gate for r in rules if r.gate)]
-    return (
-        docs.select(id_col, F.translate(F.col(text_col), MARK, " ").alias("_text"))
-        .where(F.trim("_text") != "")
-        .select(id_col, "_text", *gates)
-        .select(id_col, F.inline(hits))
-        .where(F.col("parts").isNotNull())
-        .select(id_col, "rule", F.inline(_spans(F.col("parts"), F.col("rule").isin(windowed))))
-        .select(id_col, "rule", "start", (F.col("start") + F.col("len")).alias("end"),
-                "value", "before", "after")
-    )
-
-
-def _confidence(rules: tuple[R.Rule, ...], boost: float) -> Column:
+def _confidence(rules: tuple[R.Rule, ...], hit: Column, span: Column, boost: float) -> Column:
     """Score of a match, NULL when the rule rejects it."""
-    value, before, after = F.col("value"), F.col("before"), F.col("after")
+    value, before, after = span["value"], span["before"], span["after"]
     chain = None
     for number, rule in enumerate(rules):
         score = F.lit(float(rule.score))
@@ -124,35 +108,53 @@ def _confidence(rules: tuple[R.Rule, ...], boost: float) -> Column:
             recent = F.array_join(F.slice(F.reverse(words), 1, 5), "\n")
             lifted = F.least(F.lit(1.0), score + F.lit(boost))
             score = F.when(recent.rlike("|".join(rule.boost_words)), lifted).otherwise(score)
-        hit = F.col("rule") == number
-        chain = F.when(hit, score) if chain is None else chain.when(hit, score)
+        chain = F.when(hit == number, score) if chain is None else chain.when(hit == number, score)
     return chain
 
 
-def candidates(docs: DataFrame, settings: Settings = DEFAULT, id_col: str = "doc_id",
-               text_col: str = "text", rules: tuple[R.Rule, ...] | None = None) -> DataFrame:
-    """Scored candidate spans, overlaps included.
+def with_spans(docs: DataFrame, settings: Settings = DEFAULT, text_col: str = "text",
+               rules: tuple[R.Rule, ...] | None = None) -> DataFrame:
+    """The documents plus ``spans``: scored candidates, overlaps included.
 
-    Columns: the id, ``entity_type``, ``start``, ``end`` (code points, end exclusive),
-    ``score`` and ``value``, plus ``weak_card`` for the card-versus-account rule. Filters on
-    entity and score are applied here, before overlaps are resolved.
+    A span is (start, end, entity_type, score, weak_card, value); offsets count code points
+    and the end is exclusive. Filters on entity and score are applied here, before overlaps
+    are resolved. Select away the text afterwards and Spark drops it right behind this step.
     """
     wanted = set(settings.entities)
     rules = tuple(r for r in (R.RULES if rules is None else rules) if r.entity in wanted)
+    boost = settings.context_boost
+    windowed = [i for i, r in enumerate(rules)
+                if r.context or r.adjust or r.entity == "CREDIT_CARD" or (r.boost_words and boost)]
     names = F.array(*[F.lit(r.entity) for r in rules])
-    entity = F.element_at(names, F.col("rule") + 1)
-    score = _confidence(rules, settings.context_boost).cast(SCORE)
     least = F.lit(settings.min_score).cast(SCORE)
-    weak = F.when(F.col("entity_type") == "CREDIT_CARD", R.weak_card(F.col("before"), F.col("after")))
-    return (
-        matches(docs, rules, id_col, text_col, settings.context_boost)
-        .withColumn("entity_type", entity)
-        # exploding the filtered one-element array evaluates the long score expression once;
-        # a filter on a projected column would be pushed down and evaluate it twice
-        .select("*", F.explode(F.filter(F.array(score), lambda s: s >= least)).alias("score"))
-        .select(id_col, "entity_type", "start", "end", "score",
-                F.coalesce(weak, F.lit(False)).alias("weak_card"), "value")
-    )
+
+    gates = [F.col("_text").rlike(R.GATES[g]).alias("_gate_" + g)
+             for g in dict.fromkeys(r.gate for r in rules if r.gate)]
+    cleaned = docs.select("*", F.translate(F.col(text_col), MARK, " ").alias("_text")).select("*", *gates)
+    hits = stage(cleaned, "_hits", F.array(*[_pieces(F.col("_text"), r) for r in rules]))
+
+    def scored(parts: Column, rule: Column) -> Column:
+        def finish(s: Column) -> Column:
+            entity = F.get(names, rule)
+            weak = F.when(entity == "CREDIT_CARD", R.weak_card(s["before"], s["after"]))
+            return F.struct(
+                s["start"].alias("start"), (s["start"] + s["len"]).alias("end"), entity.alias("entity_type"),
+                _confidence(rules, rule, s, boost).cast(SCORE).alias("score"),
+                F.coalesce(weak, F.lit(False)).alias("weak_card"), s["value"].alias("value"))
+
+        spans = F.transform(_spans(parts, rule.isin(*windowed) if windowed else F.lit(False)), finish)
+        return F.when(parts.isNotNull(), F.filter(spans, lambda s: s["score"] >= least))
+
+    found = F.filter(F.transform(F.col("_hits"), scored), lambda a: a.isNotNull())
+    kept = hits.select(*docs.columns, "_hits")
+    return stage(kept, "spans", F.flatten(found)).drop("_hits")
+
+
+def candidates(docs: DataFrame, settings: Settings = DEFAULT, id_col: str = "doc_id",
+               text_col: str = "text", rules: tuple[R.Rule, ...] | None = None) -> DataFrame:
+    """Candidate spans as rows, overlaps included."""
+    found = with_spans(docs.select(id_col, text_col), settings, text_col, rules)
+    return found.select(id_col, F.inline("spans"))
 
 
 def is_ner(entity: Column) -> Column:
