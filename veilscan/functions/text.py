@@ -54,7 +54,7 @@ def top_folder(path: Column, root: str) -> Column:
 def percent(part: Column, whole: Column) -> Column:
     """Share with one decimal and a percent sign, ``0.0%`` of nothing."""
     share = F.coalesce(F.try_divide((part * 100).cast("decimal(20,1)"), whole), F.lit(0))
-    return F.concat(F.format_number(F.round(share, 1), "0.0"), F.lit("%"))
+    return F.concat(F.round(share, 1).cast("decimal(20,1)").cast("string"), F.lit("%"))
 
 
 def _grouped(amount: Column, decimals: int) -> Column:
