@@ -173,6 +173,13 @@ def read_mail_corpus(spark: SparkSession, path: str, limit: int | None = None, s
         rows = rows.limit(limit or settings.mail_corpus_limit).repartition(
             spark.sparkContext.defaultParallelism)
 
+    return read_messages(rows, settings, prefix)
+
+
+def read_messages(rows: DataFrame, settings: Settings = DEFAULT,
+                  prefix: str = "mail") -> tuple[DataFrame, DataFrame]:
+    """Raw RFC 822 messages in a frame (``file``, ``message``) as documents and skipped rows."""
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             records = [P.attempt(P.parse_mail_text, m) for m in batch["message"]]
