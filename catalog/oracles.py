@@ -64,9 +64,9 @@ _MASK = (f"CASE WHEN entity_type = 'EMAIL_ADDRESS' THEN substr(value, 1, 1) || r
 # hold (see the per-rule queries) find nothing in them.
 FINDINGS = "WITH " + ",".join([
     tokens("email", "documents", "doc_id", "text", _EMAIL),
-    tokens("dots", "documents", "doc_id", "text", "[0-9.]+"),
-    tokens("word", "documents", "doc_id", "text", "[0-9A-Za-z_-]+"),
-    tokens("run", "documents", "doc_id", "text", "[+]?[0-9]+"),
+    tokens("dots", "documents", "doc_id", "text", "[0-9.]*[0-9][.][0-9][0-9.]*"),
+    tokens("word", "documents", "doc_id", "text", "[0-9A-Za-z_-]*[0-9]{13}[0-9A-Za-z_-]*"),
+    tokens("run", "documents", "doc_id", "text", "[+]?[0-9]{10,}"),
     tokens("tel", "documents", "doc_id", "text", _PHONE),
 ]) + f""",
 findings AS (

@@ -11,7 +11,7 @@ from veilscan.config import DEFAULT, Settings
 from veilscan.functions import checks, masking, text as T
 from veilscan.operators import detect as D, score as SC, spans as SP
 from veilscan.plans import compliance as CP, evaluate as EV, remediation as RM, reports as RP
-from veilscan.session import spread_small
+from veilscan.session import settle, spread_small
 from veilscan.sources import files, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,10 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.explode_findings(detected(spark, sf_dir))
 
 
+def types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return RP.type_rows(detected(spark, sf_dir))
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored documents with the report columns. Scoring shuffles nothing."""
     name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
@@ -68,9 +72,12 @@ def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).drop("findings").join(dates, "doc_id", "left")
 
 
-def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread_small(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return RP.unique_identifiers(D.digests(D.raw_findings(docs)))
+def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored documents with digests, written once: for queries that read them several times."""
+    docs = spread_small(table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("file_type")))
+    raw = D.with_raw_findings(docs)
+    keyed = D.with_digests(SP.stage(raw, "findings", D.masked(F.col("found"))))
+    return settle(SC.score_documents(keyed.drop("text", "found")))
 
 
 def spans_of(docs: DataFrame, *entities: str) -> DataFrame:
@@ -235,7 +242,8 @@ def redact_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def unique_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identifiers(spark, sf_dir)
+    docs = spread_small(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return RP.unique_identifiers(D.with_digests(D.with_raw_findings(docs)))
 
 
 # --- scoring -----------------------------------------------------------------------------
@@ -284,26 +292,26 @@ def documents_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def findings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = scored(spark, sf_dir)
-    return RP.findings_summary(docs, D.explode_findings(docs)).select(
+    return RP.findings_summary(scored(spark, sf_dir)).select(
         "doc_id", "path", "risk_level", "entity_type", "findings", dbl("max_confidence").alias("max_confidence"),
         dbl("avg_confidence").alias("avg_confidence"))
 
 
 @query
 def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return RP.entity_counts(found(spark, sf_dir), identifiers(spark, sf_dir)).withColumn(
+    docs = scanned(spark, sf_dir)
+    return RP.entity_counts(RP.type_rows(docs), RP.unique_identifiers(docs)).withColumn(
         "avg_confidence", dbl("avg_confidence"))
 
 
 @query
 def type_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return RP.type_totals(RP.scored_only(found(spark, sf_dir)))
+    return RP.type_totals(RP.scored_only(types(spark, sf_dir)))
 
 
 @query
 def widest_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return RP.widest_types(found(spark, sf_dir))
+    return RP.widest_types(types(spark, sf_dir))
 
 
 @query
@@ -330,14 +338,12 @@ def explorer_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def filter_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("file_type"), F.col("source").alias("sender"))
-    return RP.filter_choices(docs, found(spark, sf_dir))
+    return RP.filter_choices(scored(spark, sf_dir))
 
 
 @query
 def special_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id")
-    return RP.special_counts(docs, found(spark, sf_dir))
+    return RP.special_counts(scored(spark, sf_dir))
 
 
 @query
@@ -366,26 +372,28 @@ def timeline_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- compliance and remediation ----------------------------------------------------------
 @query
 def exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return CP.kpi_row(scored(spark, sf_dir), identifiers(spark, sf_dir)).select(
+    docs = scanned(spark, sf_dir)
+    return CP.kpi_row(docs, RP.unique_identifiers(docs)).select(
         "exposure_index", "exposure_band", "scale_component", "unique_individuals_estimate")
 
 
 @query
 def kpi_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return CP.kpi_row(scored(spark, sf_dir), identifiers(spark, sf_dir)).select(
+    docs = scanned(spark, sf_dir)
+    return CP.kpi_row(docs, RP.unique_identifiers(docs)).select(
         "docs_scanned", "docs_high", "docs_medium", "docs_low", "docs_clean", "docs_with_pii", "docs_toxic",
         "unique_identifiers_total", "pii_share", "high_share", "dpdp_ceiling", "dpdp_ceiling_eur", "gdpr_ceiling", "turnover")
 
 
 @query
 def compliance_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return CP.compliance_table(found(spark, sf_dir))
+    return CP.compliance_table(types(spark, sf_dir))
 
 
 @query
 def narrative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = scored(spark, sf_dir)
-    return CP.narrative(docs, D.explode_findings(docs), identifiers(spark, sf_dir))
+    docs = scanned(spark, sf_dir)
+    return CP.narrative(docs, RP.type_rows(docs), RP.unique_identifiers(docs))
 
 
 @query

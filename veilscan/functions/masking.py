@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -62,18 +63,14 @@ def normalise_identifier(value: Column, entity: Column) -> Column:
     )
 
 
-def key_table(spark: SparkSession, groups: list[str], key: bytes | None = None) -> DataFrame:
-    """HMAC pads per identifier group, as data and not as literals.
-
-    A literal would be printed in query plans. The table has one row per identifier group
-    (fewer than 20), so broadcasting it is bounded by the rule table and not by the corpus.
-    """
+def key_table(spark: SparkSession, key: bytes | None = None) -> DataFrame:
+    """HMAC pads of a key as one row of data; a fresh key unless one is given."""
     key = os.urandom(32) if key is None else key
+    key = hashlib.sha256(key).digest() if len(key) > 64 else key
     block = key.ljust(64, b"\0")
     inner = bytearray(b ^ 0x36 for b in block)
     outer = bytearray(b ^ 0x5C for b in block)
-    return spark.createDataFrame([(g, inner, outer) for g in groups],
-                                 "id_group string, inner_pad binary, outer_pad binary")
+    return spark.createDataFrame([(1, inner, outer)], "_one int, inner_pad binary, outer_pad binary")
 
 
 def keyed_digest(group: Column, normal: Column, inner_pad: Column, outer_pad: Column) -> Column:

@@ -61,16 +61,20 @@ def collect_findings(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.groupBy(id_col).agg(F.array_sort(F.collect_list(one)).alias("findings"))
 
 
-def digests(raw: DataFrame, settings: Settings = DEFAULT, key: bytes | None = None) -> DataFrame:
-    """Keyed digests of the findings that identify somebody: (id_group, digest).
+def with_digests(docs: DataFrame, settings: Settings = DEFAULT, key: bytes | None = None) -> DataFrame:
+    """Documents with ``found`` plus ``digests``: (id_group, digest) of what identifies somebody.
 
-    The key is drawn per call and kept nowhere, so digests only compare within one scan.
+    The key is drawn per call and kept nowhere, so digests only compare within one scan. It
+    travels as a one-row table, because a literal would be printed in query plans.
     """
-    groups = ["PHONE" if t in ("IN_PHONE", "PHONE_NUMBER") else t for t in settings.identifier_types]
-    keys = masking.key_table(raw.sparkSession, list(dict.fromkeys(groups)), key)
-    kind = F.col("entity_type")
-    named = raw.where(kind.isin(*settings.identifier_types)).select(
-        masking.identifier_group(kind).alias("id_group"),
-        masking.normalise_identifier(F.col("value"), kind).alias("normal"))
-    return named.join(F.broadcast(keys), "id_group").select("id_group", masking.keyed_digest(
-        F.col("id_group"), F.col("normal"), F.col("inner_pad"), F.col("outer_pad")).alias("digest"))
+    pads = masking.key_table(docs.sparkSession, key)
+    keyed = docs.withColumn("_one", F.lit(1)).join(F.broadcast(pads), "_one").drop("_one")
+
+    def digest(f: Column) -> Column:
+        group = masking.identifier_group(f["entity_type"])
+        normal = masking.normalise_identifier(f["value"], f["entity_type"])
+        return F.struct(group.alias("id_group"), masking.keyed_digest(
+            group, normal, F.col("inner_pad"), F.col("outer_pad")).alias("digest"))
+
+    named = F.filter("found", lambda f: f["entity_type"].isin(*settings.identifier_types))
+    return SP.stage(keyed, "digests", F.transform(named, digest)).drop("inner_pad", "outer_pad")

@@ -47,6 +47,7 @@ def type_totals(findings: Column) -> Column:
         return let(own, lambda fs: F.struct(
             kind.alias("entity_type"), F.size(fs).alias("n"),
             F.aggregate(fs, F.lit(0).cast(_SUM), lambda a, f: (a + f["confidence"]).cast(_SUM)).alias("sure"),
+            F.array_max(F.transform(fs, lambda f: f["confidence"])).alias("top"),
             F.array_min(F.transform(fs, lambda f: f["start"])).alias("first")))
 
     return F.transform(kinds, total)

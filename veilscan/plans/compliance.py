@@ -20,16 +20,15 @@ def regulation(spark) -> DataFrame:
         "entity_type string, dpdp_category string, higher boolean, gdpr_category string, money boolean")
 
 
-def compliance_table(found: DataFrame) -> DataFrame:
+def compliance_table(types: DataFrame) -> DataFrame:
     """Types found, with their categories and counts. The map is a fixed 17 rows, so broadcast."""
-    per = found.groupBy("entity_type").agg(
-        F.count("*").alias("findings"), F.count_distinct("doc_id").alias("documents"))
+    per = types.groupBy("entity_type").agg(F.sum("n").alias("findings"), F.count("*").alias("documents"))
     dpdp, higher, gdpr, money = fv.REGULATION_DEFAULT
 
     def yes(flag: Column) -> Column:
         return F.when(flag, "Yes").otherwise("No")
 
-    joined = per.join(F.broadcast(regulation(found.sparkSession)), "entity_type", "left")
+    joined = per.join(F.broadcast(regulation(types.sparkSession)), "entity_type", "left")
     category = F.coalesce("gdpr_category", F.lit(gdpr))
     return joined.select(
         "entity_type", F.coalesce("dpdp_category", F.lit(dpdp)).alias("dpdp_category"),
@@ -104,9 +103,12 @@ def _count(value: Column) -> Column:
     return F.format_number(value, 0)
 
 
-def narrative(docs: DataFrame, found: DataFrame, unique: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """The summary for leadership as one row with one ``summary`` text."""
-    widest = RP.widest_types(found, 3, settings)
+def narrative(docs: DataFrame, types: DataFrame, unique: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """The summary for leadership as one row with one ``summary`` text.
+
+    Four aggregates read ``docs`` and ``types``; hand in a stored or settled scan.
+    """
+    widest = RP.widest_types(types, 3, settings)
     entry = F.struct((-F.col("documents")).alias("k"), "entity_type", F.concat(
         friendly(F.col("entity_type"), F.lit(2)), F.lit(" ("), F.col("documents").cast("string"),
         F.lit(" files)")).alias("label"))

@@ -1,7 +1,8 @@
 """Read-side queries over scored documents and findings.
 
 ``docs`` is the frame of ``score.score_documents`` or a stored scan, ``found`` the masked
-findings. Every function returns a DataFrame.
+findings as rows, ``types`` one row per document and type. ``types`` comes out of scored
+documents without a shuffle, and counting documents per type on it needs no distinct.
 """
 
 from __future__ import annotations
@@ -11,35 +12,54 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from veilscan import fixed_values as fv
 from veilscan.config import DEFAULT, Settings
 from veilscan.functions import masking, text as T
-from veilscan.operators.score import friendly, lookup
+from veilscan.operators.score import friendly, type_totals as totals_of
 
 
-def _avg(column: str) -> Column:
-    """Mean of a decimal column, rounded half up to three digits."""
-    return F.round(F.sum(column).cast("decimal(28,6)") / F.count(column), 3).cast("decimal(10,3)")
+def type_rows(docs: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, kept columns, entity_type, n, sure, top, first) from documents with ``findings``."""
+    return docs.select("doc_id", *keep, F.inline(totals_of(F.col("findings"))))
+
+
+def type_rows_of(found: DataFrame) -> DataFrame:
+    """The same from stored findings."""
+    return found.groupBy("doc_id", "entity_type").agg(
+        F.count("*").alias("n"), F.sum("confidence").alias("sure"),
+        F.max("confidence").alias("top"), F.min("start").alias("first"))
+
+
+def _mean(total: Column, count: Column) -> Column:
+    """Mean of exact decimals, rounded half up to three digits."""
+    return F.round(total.cast("decimal(28,6)") / count, 3).cast("decimal(10,3)")
 
 
 def documents_export(docs: DataFrame) -> DataFrame:
     """Stored documents without the snippet, riskiest first."""
-    kept = [c for c in docs.columns if c not in ("masked_snippet", "sensitive_records")]
+    kept = [c for c in docs.columns if c not in ("masked_snippet", "sensitive_records", "findings", "digests")]
     return docs.select(*kept).orderBy(F.desc("risk_score"), "doc_id")
 
 
-def findings_summary(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Per document and type: findings, highest and mean confidence."""
-    per = found.groupBy("doc_id", "entity_type").agg(
-        F.count("*").alias("findings"),
-        F.max("confidence").alias("max_confidence"),
-        _avg("confidence").alias("avg_confidence"))
-    return (per.join(docs.select("doc_id", "path", "risk_level"), "doc_id")
-            .select("doc_id", "path", "risk_level", "entity_type", "findings", "max_confidence", "avg_confidence")
+def findings_summary(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """Per document and type: findings, highest and mean confidence.
+
+    Documents that carry their findings need no join; stored findings are joined by id.
+    """
+    if found is None:
+        per = type_rows(docs, "path", "risk_level")
+    else:
+        per = type_rows_of(found).join(docs.select("doc_id", "path", "risk_level"), "doc_id")
+    return (per.select("doc_id", "path", "risk_level", "entity_type", F.col("n").alias("findings"),
+                       F.col("top").alias("max_confidence"), _mean(F.col("sure"), F.col("n")).alias("avg_confidence"))
             .orderBy("doc_id", F.desc("findings"), "entity_type"))
 
 
-def unique_identifiers(digests: DataFrame) -> DataFrame:
-    """Distinct identifiers per group, from ``detect.with_digests``."""
-    return (digests.where(F.col("digest").isNotNull())
-            .groupBy("id_group").agg(F.count_distinct("digest").alias("unique_values")))
+def unique_identifiers(docs: DataFrame) -> DataFrame:
+    """Distinct identifiers per group, from the ``digests`` of documents.
+
+    Distinct runs on (group, digest) after a partial one per task, so a group that holds most
+    identifiers is spread over all tasks.
+    """
+    return docs.select(F.inline("digests")).groupBy("id_group").agg(
+        F.count_distinct("digest").alias("unique_values"))
 
 
 def unique_summary(unique: DataFrame) -> DataFrame:
@@ -49,16 +69,15 @@ def unique_summary(unique: DataFrame) -> DataFrame:
         F.coalesce(F.max("unique_values"), F.lit(0)).alias("unique_individuals_estimate"))
 
 
-def entity_counts(found: DataFrame, unique: DataFrame | None = None) -> DataFrame:
+def entity_counts(types: DataFrame, unique: DataFrame | None = None) -> DataFrame:
     """Per type: findings, documents, mean confidence and, given ``unique``, distinct values.
 
     ``unique`` has one row per identifier group, so its broadcast is bounded by the number of
     types whatever the corpus.
     """
-    per = found.groupBy("entity_type").agg(
-        F.count("*").alias("findings"),
-        F.count_distinct("doc_id").alias("documents"),
-        _avg("confidence").alias("avg_confidence"))
+    per = types.groupBy("entity_type").agg(
+        F.sum("n").alias("findings"), F.count("*").alias("documents"),
+        _mean(F.sum("sure"), F.sum("n")).alias("avg_confidence"))
     if unique is not None:
         per = (per.withColumn("id_group", masking.identifier_group(F.col("entity_type")))
                .join(F.broadcast(unique), "id_group", "left").drop("id_group"))
@@ -90,17 +109,16 @@ def level_totals(docs: DataFrame) -> DataFrame:
         F.count_if("toxic").alias("docs_toxic"))
 
 
-def scored_only(found: DataFrame, include_noisy: bool = False, settings: Settings = DEFAULT) -> DataFrame:
-    """Findings without the types that are stored but not scored, unless asked for."""
-    return found if include_noisy else found.where(~F.col("entity_type").isin(*settings.unscored))
+def scored_only(types: DataFrame, include_noisy: bool = False, settings: Settings = DEFAULT) -> DataFrame:
+    """Rows without the types that are stored but not scored, unless asked for."""
+    return types if include_noisy else types.where(~F.col("entity_type").isin(*settings.unscored))
 
 
-def type_totals(found: DataFrame) -> DataFrame:
+def type_totals(types: DataFrame) -> DataFrame:
     """Findings and documents per type, with a readable label."""
     name = friendly(F.col("entity_type"), F.lit(2))
     label = F.concat(F.upper(F.left(name, F.lit(1))), F.substr(name, F.lit(2)))
-    return (found.groupBy("entity_type")
-            .agg(F.count("*").alias("findings"), F.count_distinct("doc_id").alias("documents"))
+    return (types.groupBy("entity_type").agg(F.sum("n").alias("findings"), F.count("*").alias("documents"))
             .withColumn("label", label).orderBy("findings", "entity_type"))
 
 
@@ -108,10 +126,9 @@ def filetype_levels(docs: DataFrame) -> DataFrame:
     return docs.groupBy("file_type", "risk_level").agg(F.count("*").alias("documents"))
 
 
-def widest_types(found: DataFrame, n: int = 3, settings: Settings = DEFAULT) -> DataFrame:
+def widest_types(types: DataFrame, n: int = 3, settings: Settings = DEFAULT) -> DataFrame:
     """The types found in most documents."""
-    return (scored_only(found, settings=settings).groupBy("entity_type")
-            .agg(F.count_distinct("doc_id").alias("documents"))
+    return (scored_only(types, settings=settings).groupBy("entity_type").agg(F.count("*").alias("documents"))
             .orderBy(F.desc("documents"), "entity_type").limit(n))
 
 
@@ -162,21 +179,20 @@ def explorer(docs: DataFrame, levels: tuple[str, ...] = (), entities: tuple[str,
             .orderBy(F.desc("risk_score"), "doc_id"))
 
 
-def filter_choices(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Distinct values a reader can filter by: (field, value)."""
-    parts = [
-        found.select(F.lit("entity_type").alias("field"), F.col("entity_type").alias("value")),
-        docs.select(F.lit("file_type").alias("field"), F.col("file_type").alias("value")),
-        docs.where(F.coalesce("sender", F.lit("")) != "")
-            .select(F.lit("sender").alias("field"), F.col("sender").alias("value")),
-    ]
-    return parts[0].distinct().union(parts[1].distinct()).union(parts[2].distinct()).orderBy("field", "value")
+def filter_choices(docs: DataFrame) -> DataFrame:
+    """Distinct values a reader can filter by: (field, value), in one pass over the documents."""
+    values = F.flatten(F.array(
+        F.transform("entity_types", lambda t: F.struct(F.lit("entity_type").alias("field"), t.alias("value"))),
+        F.array(F.struct(F.lit("file_type").alias("field"), F.col("file_type").alias("value"))),
+        F.array(F.struct(F.lit("sender").alias("field"), F.col("sender").alias("value")))))
+    return (docs.select(F.inline(values)).where(F.coalesce("value", F.lit("")) != "")
+            .distinct().orderBy("field", "value"))
 
 
 def document_summary(found: DataFrame, doc_id) -> DataFrame:
     """Findings of one document by type."""
     return (found.where(F.col("doc_id") == F.lit(doc_id)).groupBy("entity_type")
-            .agg(F.count("*").alias("count"), _avg("confidence").alias("avg_confidence"))
+            .agg(F.count("*").alias("count"), _mean(F.sum("confidence"), F.count("*")).alias("avg_confidence"))
             .orderBy(F.desc("count"), "entity_type"))
 
 
@@ -228,18 +244,16 @@ def ranked_documents(docs: DataFrame, n: int = 10) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("risk_score"), "doc_id")))
 
 
-def special_counts(docs: DataFrame, found: DataFrame) -> DataFrame:
+def special_counts(docs: DataFrame) -> DataFrame:
     """Documents with health data and with financial data, and their share."""
-    money = fv.ACCOUNT_TYPES + ("SALARY",)
-    per = found.where(F.col("entity_type").isin("HEALTH_INFO", *money)).groupBy("doc_id").agg(
-        F.bool_or(F.col("entity_type") == "HEALTH_INFO").alias("health"),
-        F.bool_or(F.col("entity_type").isin(*money)).alias("money"))
-    hits = per.agg(F.count_if("health").alias("health_documents"), F.count_if("money").alias("financial_documents"))
-    total = docs.agg(F.count("*").alias("documents"))
-    one = hits.withColumn("_k", F.lit(1)).join(F.broadcast(total.withColumn("_k", F.lit(1))), "_k").drop("_k")
-    return one.select("documents", "health_documents", "financial_documents",
-                      T.percent(F.col("health_documents"), F.col("documents")).alias("health_share"),
-                      T.percent(F.col("financial_documents"), F.col("documents")).alias("financial_share"))
+    money = F.array(*[F.lit(t) for t in fv.ACCOUNT_TYPES + ("SALARY",)])
+    one = docs.agg(
+        F.count("*").alias("documents"),
+        F.count_if(F.array_contains("entity_types", "HEALTH_INFO")).alias("health_documents"),
+        F.count_if(F.arrays_overlap("entity_types", money)).alias("financial_documents"))
+    return one.withColumns({
+        "health_share": T.percent(F.col("health_documents"), F.col("documents")),
+        "financial_share": T.percent(F.col("financial_documents"), F.col("documents"))})
 
 
 def weights_listing(spark, settings: Settings = DEFAULT) -> DataFrame:
@@ -251,7 +265,3 @@ def weights_listing(spark, settings: Settings = DEFAULT) -> DataFrame:
         "entity_type", F.concat(F.upper(F.left(name, F.lit(1))), F.substr(name, F.lit(2))).alias("meaning"),
         "weight", F.when(F.col("is_scored"), "Yes").otherwise("No (stored only)").alias("scored"),
     ).orderBy(F.desc("weight"), "entity_type")
-
-
-def weight_of(entity: Column, settings: Settings = DEFAULT) -> Column:
-    return lookup(settings.weights, entity, 1)

@@ -6,13 +6,13 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veilscan.config import DEFAULT, Settings
 from veilscan.functions import masking
 from veilscan.operators import detect as D, score as SC, spans as SP
 from veilscan.plans import compliance as CP, evaluate as EV, remediation as RM, reports as RP
+from veilscan.session import settle
 from veilscan.sources import files, store
 
 
@@ -44,35 +44,20 @@ def scan_documents(docs: DataFrame, settings: Settings = DEFAULT, key: bytes | N
     once, every derived column is computed beside it, and the text is dropped.
     """
     raw = D.with_raw_findings(docs, settings)
-    shown = SP.stage(raw, "findings", D.masked(F.col("found")))
-    named = F.filter("found", lambda f: f["entity_type"].isin(*settings.identifier_types))
-    groups = list(dict.fromkeys("PHONE" if t in ("IN_PHONE", "PHONE_NUMBER") else t
-                                for t in settings.identifier_types))
-    # the key travels as data: one row, the same for all documents
-    pads = masking.key_table(docs.sparkSession, groups[:1], key).select(
-        F.lit(1).alias("_one"), "inner_pad", "outer_pad")
-    keyed = shown.withColumn("_one", F.lit(1)).join(F.broadcast(pads), "_one").drop("_one")
-
-    def digest(f: Column) -> Column:
-        group = masking.identifier_group(f["entity_type"])
-        normal = masking.normalise_identifier(f["value"], f["entity_type"])
-        return F.struct(group.alias("id_group"), masking.keyed_digest(
-            group, normal, F.col("inner_pad"), F.col("outer_pad")).alias("digest"))
-
+    keyed = D.with_digests(SP.stage(raw, "findings", D.masked(F.col("found"))), settings, key)
     snippet = masking.masked_snippet(F.left("text", F.lit(settings.snippet_chars)), F.length("text"),
                                      F.col("findings"), settings.snippet_chars)
     masked = keyed.select(
         "doc_id", F.col("source_path").alias("path"), "file_type", "sender", "date",
         masked_subject(F.col("subject"), F.col("text"), F.col("findings")).alias("subject"),
-        "char_count", "truncated", snippet.alias("masked_snippet"), "findings",
-        F.transform(named, digest).alias("digests"))
+        "char_count", "truncated", snippet.alias("masked_snippet"), "findings", "digests")
     return SC.score_documents(masked, settings)
 
 
-def scan_stats(documents: DataFrame, found: DataFrame, unique: DataFrame, settings: Settings = DEFAULT,
+def scan_stats(documents: DataFrame, types: DataFrame, unique: DataFrame, settings: Settings = DEFAULT,
                redacted: int = 0) -> DataFrame:
     """The aggregate figures of a scan in one row."""
-    counts = RP.entity_counts(found).agg(
+    counts = RP.entity_counts(types).agg(
         F.transform(F.array_sort(F.collect_list(F.struct((-F.col("findings")).alias("k"), "entity_type", "findings"))),
                     lambda c: F.struct(c["entity_type"].alias("key"), c["findings"].alias("value"))).alias("pairs"))
     per_group = unique.agg(F.collect_list(F.struct("id_group", "unique_values")).alias("unique_pairs"))
@@ -112,32 +97,25 @@ def run_scan(spark: SparkSession, docs: DataFrame, skipped: DataFrame, base: str
     scan_id = int(time.time() * 1000)
     started = F.timestamp_millis(F.lit(scan_id))
 
-    # One pass over the text feeds three consumers. What is kept holds masked values and keyed
-    # digests only; if an executor is lost its partitions are computed again from the source.
-    scanned = scan_documents(docs, settings).persist(StorageLevel.DISK_ONLY)
+    # One pass over the text; everything below reads what it wrote. The settled table holds
+    # masked values and keyed digests whose key is gone, never raw values.
+    scanned = settle(scan_documents(docs, settings))
     store.write(scanned, base, "documents", scan_id)
     store.write(D.explode_findings(scanned), base, "findings", scan_id)
-    unique = RP.unique_identifiers(scanned.select(F.inline("digests")))
-    # one row per identifier group: a few counts, kept as data for the reports below
-    counts = [tuple(r) for r in unique.collect()]
-    unique = spark.createDataFrame(counts, "id_group string, unique_values bigint")
     store.write(skipped, base, "skipped", scan_id)
+    # a count per identifier group, at most ten rows
+    counts = [tuple(r) for r in RP.unique_identifiers(scanned).collect()]
+    unique = spark.createDataFrame(counts, "id_group string, unique_values bigint")
 
     documents, found = (store.read(spark, base, t, scan_id) for t in ("documents", "findings"))
     top = []
     if redact:
-        ranked = RP.ranked_documents(scanned.select("doc_id", "path", "risk_score", "risk_level", "reason",
-                                                    "findings"), settings.top_redacted)
-        top = [r.path for r in ranked.select("path").collect()]
+        top = [r.path for r in RP.ranked_documents(scanned, settings.top_redacted).select("path").collect()]
         texts = fetch(top) if fetch else docs.where(F.col("source_path").isin(*top))
-        copies = RM.redact_top(scanned, texts, settings)
-        copies.write.mode("overwrite").parquet(f"{base}/redacted/latest")
-        kept = spark.read.parquet(f"{base}/redacted/latest")
-        store.write(kept.select("doc_id", "source", F.col("redacted_name").alias("redacted_path")),
-                    base, "redactions", scan_id)
-    scanned.unpersist()
-
-    stats = scan_stats(documents, found, unique, settings, len(top))
+        store.write_redacted(RM.redact_top(scanned, texts, settings), base, scan_id)
+
+    types = RP.type_rows(scanned)
+    stats = scan_stats(scanned, types, unique, settings, len(top))
     accuracy = None
     if truth is not None:
         matched = EV.match_truth(documents, truth, root)
@@ -148,7 +126,7 @@ def run_scan(spark: SparkSession, docs: DataFrame, skipped: DataFrame, base: str
         F.lit(f"{source}:{root}").alias("source"), "docs_scanned", "docs_skipped",
         settings_record(source, root, limit, redact, settings).alias("settings_json"),
         F.to_json(F.struct(*stats.columns)).alias("stats_json"))
-    paths = store.export_csv(store.exports(documents, found, unique, accuracy), f"{base}/exports")
+    paths = store.export_csv(store.exports(scanned, unique, accuracy), f"{base}/exports")
     store.write(row, base, "scans", scan_id)
     return ScanResult(scan_id, documents, found, store.read(spark, base, "skipped", scan_id),
                       store.read(spark, base, "redactions", scan_id), stats, paths)

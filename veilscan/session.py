@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +48,29 @@ def spread_small(df: DataFrame) -> DataFrame:
     if plan_bytes(df) < cores * SMALL_BYTES_PER_CORE:
         return df.repartition(cores)
     return df
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors can reach, as the cluster names it in ``spark.checkpoint.dir``.
+
+    Only a local session without that setting falls back to a temporary folder.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+    named = tempfile.mkdtemp(prefix="veilscan-")
+    spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write a frame to the shared folder and read it back.
+
+    For frames that are expensive and have several consumers. A written table survives lost
+    executors and is read with column pruning. Never settle raw values.
+    """
+    path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -31,6 +31,16 @@ def write(df: DataFrame, base: str, table: str, scan_id: int) -> None:
     df.select(*columns).write.mode("overwrite").parquet(f"{base}/{table}/scan_id={scan_id}")
 
 
+def write_redacted(copies: DataFrame, base: str, scan_id: int) -> None:
+    """Replace the redacted copies of the previous scan and record the new ones.
+
+    The copies are at most a handful of rows (``Settings.top_redacted``).
+    """
+    copies.write.mode("overwrite").parquet(f"{base}/redacted")
+    kept = copies.sparkSession.read.parquet(f"{base}/redacted")
+    write(kept.select("doc_id", "source", F.col("redacted_name").alias("redacted_path")), base, "redactions", scan_id)
+
+
 def _fields(table: str) -> list[str]:
     return [c.strip() for c in SCHEMAS[table].replace("(5,1)", "(5;1)").replace("(4,3)", "(4;3)").split(",")]
 
@@ -66,13 +76,12 @@ def export_csv(frames: dict[str, DataFrame], base: str) -> dict[str, str]:
     return paths
 
 
-def exports(documents: DataFrame, found: DataFrame, unique: DataFrame,
-            accuracy: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The frames a scan exports."""
+def exports(scanned: DataFrame, unique: DataFrame, accuracy: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The frames a scan exports, from scored documents that carry their findings."""
     frames = {
-        "documents": RP.documents_export(documents),
-        "findings_summary": RP.findings_summary(documents, found),
-        "entity_counts": RP.entity_counts(found, unique),
+        "documents": RP.documents_export(scanned),
+        "findings_summary": RP.findings_summary(scanned),
+        "entity_counts": RP.entity_counts(RP.type_rows(scanned), unique),
     }
     if accuracy is not None:
         frames["accuracy"] = accuracy
