@@ -199,7 +199,7 @@ def label_at(words) -> str:
 
 ORACLES["aadhaar_label_score"] = f"""
 WITH b AS (SELECT DISTINCT l_orderkey, l_linenumber, {_BODY} AS body FROM lineitem),
-n AS (SELECT *, body || cast({_INV}[{verhoeff('body', 1)} + 1] AS varchar) AS n FROM b),
+n AS (SELECT *, body || cast({_INV}[{verhoeff('body', 1)} + 1] AS varchar) AS n FROM b WHERE l_orderkey % 3 <> 0),
 t AS (SELECT l_orderkey * 10 + l_linenumber AS doc_id, {_AADHAAR_TEXT} AS text FROM n),
 m AS (SELECT doc_id, text, regexp_extract(text, '[0-9]{{12}}|[0-9]{{4}} [0-9]{{4}} [0-9]{{4}}') AS value FROM t),
 p AS (SELECT doc_id, value, strpos(text, value) - 1 AS start_at,

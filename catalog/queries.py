@@ -136,7 +136,10 @@ def aadhaar_label_score(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(kind == 3, F.concat(F.lit("Aadhaar "), spaced))
             .otherwise(F.concat(F.lit("Parcel "), n, F.lit(" left"))))
     docs = (_aadhaar_keys(spark, sf_dir).select("l_orderkey", "l_linenumber", "body").distinct()
-            .withColumn("n", F.concat("body", checks.verhoeff_check_digit(F.col("body"))))
+            .withColumn("check", checks.verhoeff_check_digit(F.col("body")).cast("int"))
+            # every third number carries a wrong check digit
+            .withColumn("n", F.concat("body", F.when(F.col("l_orderkey") % 3 == 0, (F.col("check") + 1) % 10)
+                                      .otherwise(F.col("check")).cast("string")))
             .select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("doc_id"), text.alias("text")))
     return spans_of(docs, "IN_AADHAAR").drop("entity_type", "end_at")
 

@@ -114,7 +114,8 @@ def _aadhaar_label_wins(before: Column, score: Column) -> Column:
     """Without an Aadhaar label, or with a banking label nearer, 12 plain digits stay at 0.6."""
     aadhaar = last_label(before, fv.AADHAAR_WORDS)
     bank = last_label(before, fv.BANK_WORDS)
-    return F.when((aadhaar < 0) | (bank > aadhaar), F.least(score, F.lit(0.6))).otherwise(score)
+    # not least(): it would skip the NULL of a rejected number and bring the number back
+    return F.when(((aadhaar < 0) | (bank > aadhaar)) & (score > 0.6), F.lit(0.6)).otherwise(score)
 
 
 # --- patterns ----------------------------------------------------------------------------

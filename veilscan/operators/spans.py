@@ -107,7 +107,8 @@ def _confidence(rules: tuple[R.Rule, ...], hit: Column, span: Column, boost: flo
             words = F.regexp_extract_all(F.lower(before), F.lit(r"[\p{L}\p{N}/-]+"), F.lit(0))
             recent = F.array_join(F.slice(F.reverse(words), 1, 5), "\n")
             lifted = F.least(F.lit(1.0), score + F.lit(boost))
-            score = F.when(recent.rlike("|".join(rule.boost_words)), lifted).otherwise(score)
+            near = score.isNotNull() & recent.rlike("|".join(rule.boost_words))
+            score = F.when(near, lifted).otherwise(score)
         chain = F.when(hit == number, score) if chain is None else chain.when(hit == number, score)
     return chain
 
