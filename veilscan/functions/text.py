@@ -58,7 +58,7 @@ def percent(part: Column, whole: Column) -> Column:
 
 
 def _grouped(amount: Column, decimals: int) -> Column:
-    return F.format_number(F.round(amount.cast("decimal(28,6)"), decimals), decimals)
+    return F.format_number(F.round(amount.cast("double"), decimals), decimals)
 
 
 def format_inr(amount: Column) -> Column:
