@@ -18,8 +18,19 @@ def with_raw_findings(docs: DataFrame, settings: Settings = DEFAULT, text_col: s
     instance from ``operators.ner``.
     """
     spotted = SP.with_spans(docs, settings, text_col, rules)
-    spans = F.col("spans") if extra_spans is None else F.concat("spans", extra_spans)
-    return SP.stage(spotted, "found", RS.resolve(spans)).drop("spans")
+    if extra_spans is not None:
+        spotted = spotted.withColumn("spans", F.concat("spans", extra_spans))
+    return spotted.select(*docs.columns, F.explode(F.array(_resolved("spans"))).alias("found"))
+
+
+@SP.built_once
+def _resolved(column: str) -> Column:
+    return RS.resolve(F.col(column))
+
+
+@SP.built_once
+def _masked(column: str) -> Column:
+    return masked(F.col(column))
 
 
 def masked(found: Column) -> Column:
@@ -34,7 +45,7 @@ def with_findings(docs: DataFrame, settings: Settings = DEFAULT, text_col: str =
                   extra_spans: Column | None = None) -> DataFrame:
     """The documents plus ``findings``, an array of masked findings in text order."""
     raw = with_raw_findings(docs, settings, text_col, extra_spans)
-    return SP.stage(raw, "findings", masked(F.col("found"))).drop("found")
+    return raw.select(*docs.columns, F.explode(F.array(_masked("found"))).alias("findings"))
 
 
 def explode_findings(docs: DataFrame, id_col: str = "doc_id", column: str = "findings") -> DataFrame:

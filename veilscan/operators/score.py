@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from veilscan import fixed_values as fv
 from veilscan.config import DEFAULT, Settings
-from veilscan.operators.spans import let, stage
+from veilscan.operators.spans import built_once, let, stage
 
 _SUM = "decimal(18,3)"
 
@@ -68,11 +68,11 @@ def _reason(settings: Settings) -> Column:
         F.when(_any("SALARY"), F.lit("salary details")),
         F.when(_any(*fv.ACCOUNT_TYPES), F.lit("financial account data"))))
     who = F.when(_any("PERSON"), "a named person").otherwise("a personal identifier")
-    toxic = F.when(F.col("toxic"), F.concat(
+    toxic = F.when(F.col("_sums.toxic"), F.concat(
         F.lit("; "), F.array_join(what, " and "), F.lit(" linked to "), who, F.lit(" (toxic combination)")))
-    bulk = F.when(F.col("_bonus") > 0, F.concat(
-        F.lit("; bulk file with "), F.col("sensitive_records").cast("string"), F.lit(" sensitive records (+"),
-        F.col("_bonus").cast("string"), F.lit(" volume bonus)")))
+    bulk = F.when(F.col("_risk.bonus") > 0, F.concat(
+        F.lit("; bulk file with "), F.col("_sums.records").cast("string"), F.lit(" sensitive records (+"),
+        F.col("_risk.bonus").cast("string"), F.lit(" volume bonus)")))
     return F.concat(F.array_join(F.concat(shown, extra), " + "), F.coalesce(toxic, F.lit("")),
                     F.coalesce(bulk, F.lit("")))
 
@@ -81,6 +81,36 @@ def _any(*kinds: str) -> Column:
     return F.exists("_types", lambda t: t["entity_type"].isin(*kinds))
 
 
+@built_once
+def _scored_types(settings: Settings) -> Column:
+    return F.filter(type_totals(F.col("findings")), lambda t: ~t["entity_type"].isin(*settings.unscored))
+
+
+@built_once
+def _sums(settings: Settings) -> Column:
+    """Exact weighted sum and number of sensitive records of one document."""
+    weight = F.aggregate("_types", F.lit(0).cast(_SUM), lambda a, t: (
+        a + lookup(settings.weights, t["entity_type"], 1) * t["sure"]).cast(_SUM))
+    records = F.aggregate("_types", F.lit(0), lambda a, t: a + F.when(
+        lookup(settings.weights, t["entity_type"], 0) >= settings.sensitive_weight, t["n"]).otherwise(0))
+    toxic = _any(*settings.identity_types) & _any(*settings.sensitive_types)
+    return F.struct(weight.alias("weight"), records.alias("records"), toxic.alias("toxic"))
+
+
+@built_once
+def _risk(settings: Settings) -> Column:
+    """Points, bonus and level of one document from its sums."""
+    bonus = volume_bonus(F.col("_sums.records"), settings)
+    capped = F.least(F.lit(settings.max_score), F.col("_sums.weight") + bonus)
+    exact = F.when(F.col("_sums.toxic"), F.greatest(capped, F.lit(settings.high))).otherwise(capped).cast(_SUM)
+    return F.struct(bonus.alias("bonus"), exact.alias("exact"))
+
+
+@built_once
+def _explained(settings: Settings) -> Column:
+    return F.when(F.size("_types") == 0, fv.CLEAN_REASON).otherwise(_reason(settings))
+
+
 def score_documents(docs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Documents with ``findings`` (see ``detect.with_findings``) plus their risk.
 
@@ -89,29 +119,17 @@ def score_documents(docs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     is a projection and shuffles nothing. The level is taken from the exact score, which is
     rounded afterwards.
     """
-    scored = F.filter(type_totals(F.col("findings")), lambda t: ~t["entity_type"].isin(*settings.unscored))
-    typed = stage(docs, "_types", scored)
-    weight = F.aggregate("_types", F.lit(0).cast(_SUM), lambda a, t: (
-        a + lookup(settings.weights, t["entity_type"], 1) * t["sure"]).cast(_SUM))
-    records = F.aggregate("_types", F.lit(0), lambda a, t: a + F.when(
-        lookup(settings.weights, t["entity_type"], 0) >= settings.sensitive_weight, t["n"]).otherwise(0))
+    typed = stage(docs, "_types", _scored_types(settings))
+    risky = stage(stage(typed, "_sums", _sums(settings)), "_risk", _risk(settings))
     clean = F.size("_types") == 0
-    summed = stage(typed, "_sums", F.struct(weight.alias("weight"), records.alias("records")))
-    return (
-        summed.withColumns({
-            "finding_count": F.size("findings"),
-            "entity_types": F.array_sort(F.array_distinct(F.transform("findings", lambda f: f["entity_type"]))),
-            "sensitive_records": F.col("_sums.records"),
-            "toxic": _any(*settings.identity_types) & _any(*settings.sensitive_types),
-            "_bonus": volume_bonus(F.col("_sums.records"), settings),
-        })
-        .withColumn("_capped", F.least(F.lit(settings.max_score), F.col("_sums.weight") + F.col("_bonus")))
-        .withColumn("_exact", F.when(F.col("toxic"), F.greatest("_capped", F.lit(settings.high)))
-                    .otherwise(F.col("_capped")).cast(_SUM))
-        .withColumns({
-            "risk_score": F.when(clean, 0).otherwise(F.round("_exact", 1)).cast("decimal(5,1)"),
-            "risk_level": F.when(clean, "Clean").otherwise(risk_level(F.col("_exact"), settings)),
-            "reason": F.when(clean, fv.CLEAN_REASON).otherwise(_reason(settings)),
-        })
-        .drop("_types", "_sums", "_bonus", "_capped", "_exact")
+    exact = F.col("_risk.exact")
+    return risky.select(
+        *docs.columns,
+        F.size("findings").alias("finding_count"),
+        F.array_sort(F.array_distinct(F.transform("findings", lambda f: f["entity_type"]))).alias("entity_types"),
+        F.col("_sums.records").alias("sensitive_records"),
+        F.col("_sums.toxic").alias("toxic"),
+        F.when(clean, 0).otherwise(F.round(exact, 1)).cast("decimal(5,1)").alias("risk_score"),
+        F.when(clean, "Clean").otherwise(risk_level(exact, settings)).alias("risk_level"),
+        _explained(settings).alias("reason"),
     )

@@ -18,7 +18,9 @@ it into the lambda. ``let`` and ``stage`` bind a value once and keep that from h
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from veilscan import fixed_values as fv
@@ -35,6 +37,25 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def built_once(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Keep the column a function builds, per arguments.
+
+    The large expressions take thousands of calls to the JVM to put together; they only depend
+    on rules and settings, so every further query of a session reuses them.
+    """
+    kept: dict = {}
+
+    @wraps(build)
+    def get(*key):
+        gateway = SparkContext._gateway
+        place = (id(gateway), tuple(k if isinstance(k, (tuple, str, int, float)) else repr(k) for k in key))
+        if place not in kept:
+            kept[place] = (gateway, build(*key))
+        return kept[place][1]
+
+    return get
+
+
 def stage(df: DataFrame, column: str, value: Column) -> DataFrame:
     """Add a column behind a one-row generator, which the optimizer does not collapse."""
     return df.select("*", F.explode(F.array(value)).alias(column))
@@ -113,26 +134,19 @@ def _confidence(rules: tuple[R.Rule, ...], hit: Column, span: Column, boost: flo
     return chain
 
 
-def with_spans(docs: DataFrame, settings: Settings = DEFAULT, text_col: str = "text",
-               rules: tuple[R.Rule, ...] | None = None) -> DataFrame:
-    """The documents plus ``spans``: scored candidates, overlaps included.
+@built_once
+def _hits(rules: tuple[R.Rule, ...]) -> Column:
+    """Per rule the pieces of the text, NULL where the rule does not match."""
+    return F.array(*[_pieces(F.col("_text"), r) for r in rules])
 
-    A span is (start, end, entity_type, score, weak_card, value); offsets count code points
-    and the end is exclusive. Filters on entity and score are applied here, before overlaps
-    are resolved. Select away the text afterwards and Spark drops it right behind this step.
-    """
-    wanted = set(settings.entities)
-    rules = tuple(r for r in (R.RULES if rules is None else rules) if r.entity in wanted)
-    boost = settings.context_boost
+
+@built_once
+def _scored_spans(rules: tuple[R.Rule, ...], boost: float, min_score: float) -> Column:
+    """The spans of all rules that hit, from ``_hits``."""
     windowed = [i for i, r in enumerate(rules)
                 if r.context or r.adjust or r.entity == "CREDIT_CARD" or (r.boost_words and boost)]
     names = F.array(*[F.lit(r.entity) for r in rules])
-    least = F.lit(settings.min_score).cast(SCORE)
-
-    gates = [F.col("_text").rlike(R.GATES[g]).alias("_gate_" + g)
-             for g in dict.fromkeys(r.gate for r in rules if r.gate)]
-    cleaned = docs.select("*", F.translate(F.col(text_col), MARK, " ").alias("_text")).select("*", *gates)
-    hits = stage(cleaned, "_hits", F.array(*[_pieces(F.col("_text"), r) for r in rules]))
+    least = F.lit(min_score).cast(SCORE)
 
     def scored(parts: Column, rule: Column) -> Column:
         def finish(s: Column) -> Column:
@@ -146,9 +160,25 @@ def with_spans(docs: DataFrame, settings: Settings = DEFAULT, text_col: str = "t
         spans = F.transform(_spans(parts, rule.isin(*windowed) if windowed else F.lit(False)), finish)
         return F.when(parts.isNotNull(), F.filter(spans, lambda s: s["score"] >= least))
 
-    found = F.filter(F.transform(F.col("_hits"), scored), lambda a: a.isNotNull())
-    kept = hits.select(*docs.columns, "_hits")
-    return stage(kept, "spans", F.flatten(found)).drop("_hits")
+    return F.flatten(F.filter(F.transform(F.col("_hits"), scored), lambda a: a.isNotNull()))
+
+
+def with_spans(docs: DataFrame, settings: Settings = DEFAULT, text_col: str = "text",
+               rules: tuple[R.Rule, ...] | None = None) -> DataFrame:
+    """The documents plus ``spans``: scored candidates, overlaps included.
+
+    A span is (start, end, entity_type, score, weak_card, value); offsets count code points
+    and the end is exclusive. Filters on entity and score are applied here, before overlaps
+    are resolved. Select away the text afterwards and Spark drops it right behind this step.
+    """
+    wanted = set(settings.entities)
+    rules = tuple(r for r in (R.RULES if rules is None else rules) if r.entity in wanted)
+    gates = [F.col("_text").rlike(R.GATES[g]).alias("_gate_" + g)
+             for g in dict.fromkeys(r.gate for r in rules if r.gate)]
+    cleaned = docs.select("*", F.translate(F.col(text_col), MARK, " ").alias("_text")).select("*", *gates)
+    hits = cleaned.select(*docs.columns, F.explode(F.array(_hits(rules))).alias("_hits"))
+    spans = F.explode(F.array(_scored_spans(rules, settings.context_boost, settings.min_score)))
+    return hits.select(*docs.columns, spans.alias("spans"))
 
 
 def candidates(docs: DataFrame, settings: Settings = DEFAULT, id_col: str = "doc_id",

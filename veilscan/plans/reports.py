@@ -143,14 +143,16 @@ def dominant_high_filetype(docs: DataFrame) -> DataFrame:
 def top_senders(docs: DataFrame, n: int = 10) -> DataFrame:
     """The senders of most High and Medium documents, with a count per level.
 
-    Senders are ranked on their pre-aggregated counts, so one busy sender costs nothing, and
-    only the ``n`` winners are broadcast.
+    One pass: both levels are counted per sender before the shuffle, so a busy sender is one
+    partial count per task, and only the ``n`` winners are turned into rows per level.
     """
-    per = (docs.where(F.col("risk_level").isin("High", "Medium") & (F.coalesce("sender", F.lit("")) != ""))
-           .groupBy("sender", "risk_level").agg(F.count("*").alias("documents")))
-    best = (per.groupBy("sender").agg(F.sum("documents").alias("total"))
-            .orderBy(F.desc("total"), "sender").limit(n))
-    return (per.join(F.broadcast(best), "sender")
+    ranked = (docs.where(F.col("risk_level").isin("High", "Medium") & (F.coalesce("sender", F.lit("")) != ""))
+              .groupBy("sender").agg(F.count("*").alias("total"),
+                                     F.count_if(F.col("risk_level") == "High").alias("High"),
+                                     F.count_if(F.col("risk_level") == "Medium").alias("Medium"))
+              .orderBy(F.desc("total"), "sender").limit(n))
+    levels = F.array(*[F.struct(F.lit(x).alias("risk_level"), F.col(x).alias("documents")) for x in ("High", "Medium")])
+    return (ranked.select("sender", "total", F.inline(levels)).where(F.col("documents") > 0)
             .orderBy(F.desc("total"), "sender", "risk_level").select("sender", "risk_level", "documents"))
 
 
@@ -206,28 +208,28 @@ def timeline(docs: DataFrame, date_col: str = "date") -> DataFrame:
     """Documents with personal data per period and level, without holes.
 
     Periods are months, or quarters when the dates span more than 18 months of 30.4 days. The
-    grid has one row per period and level present, and is built from a one-row aggregate.
+    documents are read once: their counts per month and level become one row, as long as the
+    corpus has months, and that row grows the grid.
     """
     dated = docs.where((F.col("risk_level") != "Clean") & F.col(date_col).isNotNull())
     counted = dated.groupBy(F.date_trunc("month", date_col).alias("month"), "risk_level").agg(
         F.count("*").alias("n"), F.min(date_col).alias("lo"), F.max(date_col).alias("hi"))
     whole_days = F.floor((F.unix_timestamp("hi") - F.unix_timestamp("lo")) / 86400)
-    span = counted.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"),
-                       F.collect_set("risk_level").alias("present")).where(F.col("lo").isNotNull())
-    span = span.withColumn("grain", F.when(whole_days / 30.4 > 18, "quarter").otherwise("month"))
-    first = F.when(F.col("grain") == "quarter", F.date_trunc("quarter", "lo")).otherwise(F.date_trunc("month", "lo"))
-    months = F.sequence(first, F.date_trunc("month", "hi"), F.expr("interval 1 month"))
-    quarters = F.sequence(first, F.date_trunc("quarter", "hi"), F.expr("interval 3 months"))
-    grid = (span.withColumn("period", F.explode(F.when(F.col("grain") == "quarter", quarters).otherwise(months)))
-            .withColumn("risk_level", F.explode("present")).select("grain", "period", "risk_level"))
-    # counts carry both grains; the grid says which one is meant
-    both = counted.select("risk_level", "n", F.explode(F.array(
-        F.struct(F.lit("month").alias("grain"), F.col("month").alias("period")),
-        F.struct(F.lit("quarter").alias("grain"), F.date_trunc("quarter", "month").alias("period")))).alias("p"))
-    per = both.groupBy("p.grain", "p.period", "risk_level").agg(F.sum("n").alias("documents"))
-    return (grid.join(per, ["grain", "period", "risk_level"], "left")
-            .select("grain", "period", "risk_level", F.coalesce("documents", F.lit(0)).alias("documents"))
-            .orderBy("period", "risk_level"))
+    one = counted.agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_set("risk_level").alias("present"),
+        F.collect_list(F.struct("month", "risk_level", "n")).alias("counts"),
+    ).where(F.col("lo").isNotNull()).withColumn("grain", F.when(whole_days / 30.4 > 18, "quarter").otherwise("month"))
+
+    def start_of(value: Column) -> Column:
+        return F.when(F.col("grain") == "quarter", F.date_trunc("quarter", value)).otherwise(F.date_trunc("month", value))
+
+    step = F.when(F.col("grain") == "quarter", F.expr("interval 3 months")).otherwise(F.expr("interval 1 month"))
+    grid = one.select("grain", "present", "counts", F.explode(
+        F.sequence(start_of(F.col("lo")), start_of(F.col("hi")), step)).alias("period"))
+    cell = grid.select("grain", "period", "counts", F.explode("present").alias("risk_level"))
+    own = F.filter("counts", lambda c: (c["risk_level"] == F.col("risk_level")) & (start_of(c["month"]) == F.col("period")))
+    total = F.aggregate(own, F.lit(0).cast("bigint"), lambda a, c: a + c["n"])
+    return cell.select("grain", "period", "risk_level", total.alias("documents")).orderBy("period", "risk_level")
 
 
 def top_documents(docs: DataFrame, n: int) -> DataFrame:
