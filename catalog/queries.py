@@ -296,7 +296,7 @@ def documents_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def findings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RP.findings_summary(scored(spark, sf_dir)).select(
-        "doc_id", "path", "risk_level", "entity_type", "findings", dbl("max_confidence").alias("max_confidence"),
+        "doc_id", "path", "risk_level", "entity_type", big("findings").alias("findings"), dbl("max_confidence").alias("max_confidence"),
         dbl("avg_confidence").alias("avg_confidence"))
 
 

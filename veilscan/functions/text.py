@@ -7,6 +7,7 @@ from pyspark.sql import Column, functions as F
 
 def strip_html(html: Column) -> Column:
     """Readable text of a simple page: blocks and scripts out, breaks to newlines, tags to spaces."""
+    # fixed values: the four patterns
     text = F.regexp_replace(html, r"(?is)<(script|style).*?</\1>", " ")
     text = F.regexp_replace(text, r"(?i)<br\s*/?>|</p>|</div>|</tr>", "\n")
     text = F.regexp_replace(text, r"<[^>]+>", " ")

@@ -118,7 +118,7 @@ def _aadhaar_label_wins(before: Column, score: Column) -> Column:
     return F.when(((aadhaar < 0) | (bank > aadhaar)) & (score > 0.6), F.lit(0.6)).otherwise(score)
 
 
-# --- patterns ----------------------------------------------------------------------------
+# --- fixed values: patterns and base scores ----------------------------------------------------------------------------
 _AMOUNT = r"[0-9]{1,3}(?:[,0-9]*[0-9])?(?:\.[0-9]{1,2})?"
 _GAP = r"[\s\x{00A0}]*"
 _NAME = r"[A-Z][a-z]+(?: [A-Z][a-z]+){1,2}" + _CLOSE

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,19 +51,22 @@ def spread_small(df: DataFrame) -> DataFrame:
     return df
 
 
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="veilscan-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
     Only a local session without that setting falls back to a temporary folder.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-    named = tempfile.mkdtemp(prefix="veilscan-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    return _local_dir()
 
 
 def settle(df: DataFrame) -> DataFrame:

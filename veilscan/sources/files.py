@@ -64,8 +64,11 @@ def _literal_path(path: str) -> str:
 
 
 def document_id(path: Column) -> Column:
-    """Stable id of a document; a running number would need all files in one partition."""
-    return F.concat(F.lit("DOC-"), F.left(F.sha2(path, 256), F.lit(16)))
+    """Stable id of a document; a running number would need all files in one partition.
+
+    128 bits, so that ids stay unique over tens of billions of documents.
+    """
+    return F.concat(F.lit("DOC-"), F.left(F.sha2(path, 256), F.lit(32)))
 
 
 def _sheet_text(tables: Column, kind: Column) -> Column:
