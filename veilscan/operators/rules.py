@@ -26,11 +26,17 @@ GATES = {
     "number": r"[0-9][0-9 .()\s\x{00A0}-]{6,}[0-9]",
     "code": "[A-Z]{2}[0-9]",
     "digit": "[0-9]",
+    "currency": r"[₹$.SsRrDd][\s\x{00A0}:=)-]*[0-9]",
+    "unit": r"[0-9][\s\x{00A0}]*[LlCcIiRrUu]",
+    "label": r":[ \t]*[A-Z][a-z]",
     "dotted": r"[0-9]\.[0-9]",
     "colon": "[0-9A-Fa-f]:[0-9A-Fa-f:]",
     "year": "(?:19|20)[0-9]{2}",
 }
 
+# Gates that only need a look when the text has a digit at all.
+DIGIT_GATES = ("number", "code", "dotted", "year", "currency", "unit")
+
 # Characters of text kept around a match for the context tests.
 BEFORE_CHARS = 60
 AFTER_CHARS = 40
@@ -59,6 +65,23 @@ def word_pattern(words: tuple[str, ...]) -> str:
     return r"(?i)(?<![a-z])(?:" + "|".join(words) + r")(?![a-z])"
 
 
+def by_first_letter(words: tuple[str, ...]) -> str:
+    """The words as alternatives, grouped by first letter so that most positions fail early.
+
+    Words with the same first letter keep their order, so the same alternative wins.
+    """
+    groups: dict[str, list[str]] = {}
+    for w in words:
+        groups.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{letter}(?:{'|'.join(rest)})" for letter, rest in groups.items())
+
+
+def first_letters(words: tuple[str, ...]) -> str:
+    """Look-ahead for the first letter of any word, cheaper than a border test."""
+    letters = "".join(sorted({w[0] for w in words}))
+    return f"(?=[{letters}{letters.upper()}])"
+
+
 def near(before: Column, after: Column, words: tuple[str, ...], back: int, ahead: int) -> Column:
     """Context test: a word in the last ``back`` characters before or the first ``ahead`` after."""
     window = F.concat(F.right(before, F.lit(back)), F.lit(" "), F.left(after, F.lit(ahead)))
@@ -122,7 +145,8 @@ def _aadhaar_label_wins(before: Column, score: Column) -> Column:
 _AMOUNT = r"[0-9]{1,3}(?:[,0-9]*[0-9])?(?:\.[0-9]{1,2})?"
 _GAP = r"[\s\x{00A0}]*"
 _NAME = r"[A-Z][a-z]+(?: [A-Z][a-z]+){1,2}" + _CLOSE
-_NAME_AHEAD = r"(?m)(?<=[ \t:])(?=[A-Z][a-z]+ [A-Z][a-z])"
+# the cheap look-ahead comes first: it fails at almost every position
+_NAME_AHEAD = r"(?m)(?=[A-Z][a-z]+ [A-Z][a-z])(?<=[ \t:])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _HEX = r"[0-9A-Fa-f]{1,4}"
 _MONTH = (r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?"
@@ -149,20 +173,20 @@ RULES: tuple[Rule, ...] = (
     Rule("salary_prefix", "SALARY",
          rf"(?i)(?=[₹$riu])(?:₹|(?<![a-z])rs\.?|(?<![a-z])inr|(?<![a-z])usd|\$)\)?{_GAP}[:=\-]?{_GAP}{_AMOUNT}"
          rf"(?:{_GAP}(?:lakhs?|lacs?|crores?|lpa|k){_CLOSE})?", 0.55,
-         validate=_positive, context=_salary_around, boost_words=fv.SALARY_WORDS, gate="digit"),
+         validate=_positive, context=_salary_around, boost_words=fv.SALARY_WORDS, gate="currency"),
     Rule("salary_unit", "SALARY",
          rf"(?i)(?<![0-9.,]){_AMOUNT}{_GAP}(?:lpa|lakhs?|lacs?|crores?){_CLOSE}", 0.55,
-         validate=_positive, context=_salary_around, boost_words=fv.SALARY_WORDS, gate="digit"),
+         validate=_positive, context=_salary_around, boost_words=fv.SALARY_WORDS, gate="unit"),
     Rule("salary_suffix", "SALARY",
          rf"(?i)(?<![0-9.,]){_AMOUNT}{_GAP}(?:inr|rupees|usd){_CLOSE}", 0.55,
-         validate=_positive, context=_salary_around, boost_words=fv.SALARY_WORDS, gate="digit"),
+         validate=_positive, context=_salary_around, boost_words=fv.SALARY_WORDS, gate="unit"),
     Rule("health_term", "HEALTH_INFO",
-         r"(?i)" + _OPEN + "(?:" + "|".join(fv.HEALTH_TERMS) + ")" + _CLOSE, 0.55,
+         first_letters(fv.HEALTH_TERMS) + "(?i)" + _OPEN + "(?:" + by_first_letter(fv.HEALTH_TERMS) + ")" + _CLOSE, 0.55,
          boost_words=("patient", "doctor", "dr", "treatment", "medical", "clinic", "leave",
                       "diagnosed", "suffering", "recovering", "admitted")),
     Rule("name_after_label", "PERSON",
          _NAME_AHEAD + r"(?<=(?:^|[^A-Za-z])(?i:" + "|".join(fv.NAME_LABELS)
-         + r")[ \t]{0,40}:[ \t]{0,40})" + _NAME, 0.9, validate=_no_stop_word),
+         + r")[ \t]{0,40}:[ \t]{0,40})" + _NAME, 0.9, validate=_no_stop_word, gate="label"),
     Rule("name_after_cue", "PERSON",
          _NAME_AHEAD + r"(?<=(?:^|[^A-Za-z])(?i:" + "|".join(fv.NAME_CUES) + r")[ \t]{1,40})" + _NAME,
          0.6, validate=_no_stop_word),

@@ -173,9 +173,12 @@ def with_spans(docs: DataFrame, settings: Settings = DEFAULT, text_col: str = "t
     """
     wanted = set(settings.entities)
     rules = tuple(r for r in (R.RULES if rules is None else rules) if r.entity in wanted)
-    gates = [F.col("_text").rlike(R.GATES[g]).alias("_gate_" + g)
-             for g in dict.fromkeys(r.gate for r in rules if r.gate)]
-    cleaned = docs.select("*", F.translate(F.col(text_col), MARK, " ").alias("_text")).select("*", *gates)
+    wanted_gates = list(dict.fromkeys(r.gate for r in rules if r.gate and r.gate != "digit"))
+    digit, text = F.col("_gate_digit"), F.col("_text")
+    gates = [(digit & text.rlike(R.GATES[g]) if g in R.DIGIT_GATES else text.rlike(R.GATES[g])).alias("_gate_" + g)
+             for g in wanted_gates]
+    cleaned = docs.select("*", F.replace(F.col(text_col), F.lit(MARK), F.lit(" ")).alias("_text"))
+    cleaned = cleaned.select("*", text.rlike(R.GATES["digit"]).alias("_gate_digit")).select("*", *gates)
     hits = cleaned.select(*docs.columns, F.explode(F.array(_hits(rules))).alias("_hits"))
     spans = F.explode(F.array(_scored_spans(rules, settings.context_boost, settings.min_score)))
     return hits.select(*docs.columns, spans.alias("spans"))
