@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
-#: Fields that a Python worker keeps at most, and their longest length; beyond, those stay that were met again.
+#: Fields that a Python worker keeps at most, and their longest length; beyond, only those stay that are met again.
 KEPT_FIELDS = 1_000_000
 KEPT_LENGTH = 64
 #: Characters whose new fields are encoded in one call.
@@ -23,20 +23,20 @@ class Units:
         self.encode, self.whole = encode, whole
         self.first: dict[str, bytes | None] = {}
         self.rest: dict[str, bytes | None] = {}
-        self.again: set[str] = set()
+        self.old: dict[str, bytes | None] = {}
 
     def _learn(self, store: dict, fields: set[str], lead: str) -> dict[str, bytes | None]:
         """Puts fields that are not in the store there; gives those that are too long to be kept."""
         new = fields.difference(store)
-        if store is self.rest:
-            self.again |= fields - new
-        if store and len(store) + len(new) > KEPT_FIELDS:
-            kept = {f: store[f] for f in self.again if f in store} if store is self.rest else {}
-            self.again.clear()
+        if store and len(store) + len(new) > KEPT_FIELDS // 2:
+            if store is self.rest:
+                self.old = dict(store)  # from which those that are met again come back
             store.clear()
-            if len(kept) + len(new) <= KEPT_FIELDS // 2:
-                store.update(kept)
-            new = fields.difference(store)
+            new = fields
+        if store is self.rest and self.old:
+            back = {f: self.old[f] for f in new if f in self.old}
+            store.update(back)
+            new = new.difference(back)
         found: dict[str, bytes | None] = dict.fromkeys(new)
         good = [f for f in new if f and not f[0].isspace() and not f[-1].isspace()]
         found.update(zip(good, self.encode([lead + f for f in good]), strict=True))
