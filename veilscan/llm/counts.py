@@ -29,7 +29,7 @@ BLANK = "▁"
 LIMIT = 4096
 #: Characters in a chunk, and stretches that a Python worker keeps with their longest length.
 CHUNK = 1 << 16
-KEPT = 700_000
+KEPT = 400_000
 KEPT_LENGTH = 64
 #: States and transitions compiled at most; then compilation starts anew.
 COMPILED = 1_000_000

@@ -37,6 +37,8 @@ BLOCK = 1 << 16
 MAGIC = b"VSIDS01\n"
 HEADER = struct.Struct("<8sII")
 FOOTER = struct.Struct("<QQQ8s")
+#: Fields that a Python worker keeps.
+KEPT = 1_000_000
 #: Fields encoded as one text.
 JOINED = 200
 #: Documents read from a file at a time.
@@ -176,7 +178,7 @@ def tokenizer(path: str) -> tuple[Units, int]:
                     begin = end
             return out
 
-        _LOADED[path] = Units(encode, lambda text: any(a in text for a in added)), library.get_vocab_size()
+        _LOADED[path] = Units(encode, lambda text: any(a in text for a in added), KEPT), library.get_vocab_size()
     return _LOADED[path]
 
 

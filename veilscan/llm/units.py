@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 #: Fields that a Python worker keeps at most, and their longest length; beyond, only those stay that are met again.
-KEPT_FIELDS = 1_000_000
+KEPT_FIELDS = 300_000
 KEPT_LENGTH = 64
 #: Characters whose new fields are encoded in one call.
 AT_ONCE = 1 << 21
@@ -19,8 +19,8 @@ AT_ONCE = 1 << 21
 class Units:
     """Encodes texts to bytes by an encode function for a list of strings, which it asks for each new field only."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], whole: Callable[[str], bool] = lambda text: False):
-        self.encode, self.whole = encode, whole
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], whole: Callable[[str], bool] = lambda text: False, kept: int = KEPT_FIELDS):
+        self.encode, self.whole, self.kept = encode, whole, kept
         self.first: dict[str, bytes | None] = {}
         self.rest: dict[str, bytes | None] = {}
         self.old: dict[str, bytes | None] = {}
@@ -28,7 +28,7 @@ class Units:
     def _learn(self, store: dict, fields: set[str], lead: str) -> dict[str, bytes | None]:
         """Puts fields that are not in the store there; gives those that are too long to be kept."""
         new = fields.difference(store)
-        if store and len(store) + len(new) > KEPT_FIELDS // 2:
+        if store and len(store) + len(new) > self.kept // 2:
             if store is self.rest:
                 self.old = dict(store)  # from which those that are met again come back
             store.clear()
