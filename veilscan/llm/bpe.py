@@ -85,7 +85,10 @@ class ByteBpe:
         self.whole = {t: struct.pack("<I", i) for i, t in enumerate(tokens)}
         self.pieces = [to_bytes(self.model.id_to_piece(i)) for i in range(len(tokens))]
         self.pattern = regex.compile(pattern)
-        self.units = Units(self._encode_all)
+
+    def units(self) -> Units:
+        """A store of fields, which a task gives up at its end, so that idle workers hold none."""
+        return Units(self._encode_all)
 
     def _encode_parts(self, parts: list[bytes]) -> list[bytes]:
         out = [self.whole.get(p) for p in parts]
@@ -107,7 +110,7 @@ class ByteBpe:
 
     def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        return self.units.encode_all(texts)
+        return self.units().encode_all(texts)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join([self.pieces[i] for i in np.frombuffer(ids, "<u4").tolist()])
@@ -128,9 +131,10 @@ def encoded(docs: DataFrame, path: str = "", with_ids: bool = False) -> DataFram
 
     def rows(batches):
         bpe = coder(path or public_tokenizers.path(VOCABULARY))
+        units = bpe.units()
         for batch in batches:
             counts, id_sums, text_sums, kept = [], [], [], []
-            for ids in bpe.encode_all(text.as_py() or "" for text in batch.column(1)):
+            for ids in units.encode_all(text.as_py() or "" for text in batch.column(1)):
                 counts.append(len(ids) // 4)
                 id_sums.append(hashlib.sha256(ids).hexdigest())
                 text_sums.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
