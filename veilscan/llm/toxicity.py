@@ -50,7 +50,7 @@ PLAIN, NEGATED, REPORTED = "", "negated ", "reported "
 #: Words behind a negation that it reaches.
 REACH = 3
 #: Kinds of clauses, with the weight that each has before labels are seen; a target adds to it.
-KINDS = {m + h: w for m, w in ((PLAIN, 4.0), (NEGATED, 1.5), (REPORTED, 2.0)) for h in (INSULT, THREAT)}
+KINDS = {m + h: w for m, w in ((PLAIN, 6.0), (NEGATED, 2.0), (REPORTED, 2.5)) for h in (INSULT, THREAT)}
 KINDS |= {k + " at target": w + 0.5 for k, w in KINDS.items()}
 BIAS = -4.0
 CLAUSE = re.compile(r"[^.!?;:\n]+")
