@@ -16,8 +16,7 @@ class Settings:
 
     # ingestion
     max_text_length: int = 200_000
-    mail_corpus_limit: int = 5_000
-    max_table_rows: int = 5_000
+    max_table_rows: int | None = None  # all rows
     extensions: tuple[str, ...] = fv.EXTENSIONS
     excluded_names: tuple[str, ...] = fv.EXCLUDED_NAMES
     # detection

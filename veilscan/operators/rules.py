@@ -24,6 +24,7 @@ _CLOSE = r"(?![\p{L}\p{N}_])"
 GATES = {
     "at": "@",
     "number": r"[0-9][0-9 .()\s\x{00A0}-]{6,}[0-9]",
+    "plus": r"\+[1-9]",
     "code": "[A-Z]{2}[0-9]",
     "digit": "[0-9]",
     "currency": r"[₹$.SsRrDd][\s\x{00A0}:=)-]*[0-9]",
@@ -35,7 +36,7 @@ GATES = {
 }
 
 # Gates that only need a look when the text has a digit at all.
-DIGIT_GATES = ("number", "code", "dotted", "year", "currency", "unit")
+DIGIT_GATES = ("number", "plus", "code", "dotted", "year", "currency", "unit")
 
 # Characters of text kept around a match for the context tests.
 BEFORE_CHARS = 60
@@ -213,7 +214,7 @@ RULES: tuple[Rule, ...] = (
          boost_words=("phone", "number", "telephone", "cell", "cellphone", "mobile", "call"), gate="number"),
     Rule("phone_intl", "PHONE_NUMBER",
          r"(?<![0-9A-Za-z+])\+[1-9][0-9]{0,2}(?:[ .-]?[0-9]{2,5}){2,4}(?![0-9A-Za-z])", 0.5,
-         boost_words=("phone", "number", "telephone", "cell", "cellphone", "mobile", "call"), gate="number"),
+         boost_words=("phone", "number", "telephone", "cell", "cellphone", "mobile", "call"), gate="plus"),
     Rule("date_iso", "DATE_TIME",
          r"(?<![0-9A-Za-z/.-])(?:(?:19|20)[0-9]{2}([-/.])(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12][0-9]|3[01])"
          r"|(?:0?[1-9]|[12][0-9]|3[01])([-/.])(?:0?[1-9]|1[0-2])\2(?:19|20)[0-9]{2})(?![0-9A-Za-z/-])", 0.6, gate="year"),

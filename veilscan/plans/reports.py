@@ -198,10 +198,10 @@ def document_summary(found: DataFrame, doc_id) -> DataFrame:
             .orderBy(F.desc("count"), "entity_type"))
 
 
-def document_findings(found: DataFrame, doc_id, n: int = 200) -> DataFrame:
-    """The first findings of one document, as the preview table shows them."""
-    return (found.where(F.col("doc_id") == F.lit(doc_id)).orderBy("start").limit(n)
-            .select("entity_type", "masked_value", "confidence"))
+def document_findings(found: DataFrame, doc_id, n: int | None = None) -> DataFrame:
+    """The findings of one document in order, or the first ``n`` of them for a preview table."""
+    rows = found.where(F.col("doc_id") == F.lit(doc_id)).orderBy("start")
+    return (rows if n is None else rows.limit(n)).select("entity_type", "masked_value", "confidence")
 
 
 def timeline(docs: DataFrame, date_col: str = "date") -> DataFrame:

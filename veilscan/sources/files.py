@@ -157,10 +157,10 @@ def _read(spark: SparkSession, where: str | list[str], settings: Settings) -> tu
 
 
 def read_mail_corpus(spark: SparkSession, path: str, limit: int | None = None, settings: Settings = DEFAULT,
-                     prefix: str = "enron", all_rows: bool = False) -> tuple[DataFrame, DataFrame]:
-    """A CSV of raw messages (``file``, ``message``), the first ``limit`` rows of it.
+                     prefix: str = "enron") -> tuple[DataFrame, DataFrame]:
+    """A CSV of raw messages (``file``, ``message``): all of them, or the first ``limit`` by file if a limit is given.
 
-    ``all_rows`` lifts the default cap. There is no file date to fall back on.
+    There is no file date to fall back on.
     """
     try:
         raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
@@ -171,12 +171,10 @@ def read_mail_corpus(spark: SparkSession, path: str, limit: int | None = None, s
     if not {"file", "message"} <= set(raw.columns):
         raise ValueError(f"{path} needs the columns 'file' and 'message', it has {raw.columns}")
     rows = raw.select("file", "message")
-    if not all_rows:
-        # a limit leaves one partition; spread its rows again so that parsing runs on all cores
-        rows = rows.limit(limit or settings.mail_corpus_limit).repartition(
-            spark.sparkContext.defaultParallelism)
-
-    return read_messages(rows, settings, prefix)
+    if limit is not None:
+        rows = rows.orderBy("file", "message").limit(limit)
+    # a CSV with line ends in its fields is read by one task; parsing and detection run on all cores
+    return read_messages(rows.repartition(spark.sparkContext.defaultParallelism), settings, prefix)
 
 
 def read_messages(rows: DataFrame, settings: Settings = DEFAULT,
