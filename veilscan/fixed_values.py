@@ -25,10 +25,6 @@ NER_LABELS = {
     "LOC": "LOCATION", "GPE": "LOCATION", "FAC": "LOCATION",
     "DATE": "DATE_TIME", "TIME": "DATE_TIME",
 }
-NER_IGNORED = (
-    "ORG", "ORGANIZATION", "NORP", "CARDINAL", "MONEY", "PERCENT", "QUANTITY", "ORDINAL",
-    "EVENT", "WORK_OF_ART", "LAW", "LANGUAGE", "PRODUCT",
-)
 
 # --- fixed values: context words (regular-expression fragments) --------------------------
 AADHAAR_WORDS = ("aadhaar", "aadhar", "adhaar", "uid", "uidai", "enrolment", "e-kyc", "ekyc", "kyc")
@@ -63,8 +59,9 @@ NAME_LABELS = (
 )
 NAME_CUES = (
     "dear", "hi", "hello", r"mr\.?", r"mrs\.?", r"ms\.?", r"dr\.?", "shri", r"smt\.?",
-    "customer", "candidate", "employee", r"regards,\s{0,40}\n", r"sincerely,\s{0,40}\n",
+    "customer", "candidate", "employee",
 )
+NAME_CLOSINGS = ("regards,", "sincerely,")  # with a line end behind them
 NAME_STOP_WORDS = (
     "team", "care", "customer", "support", "accounts", "account", "desk", "sir", "madam", "all",
     "travel", "operations", "acquisition", "talent", "hr", "manager", "department", "services",

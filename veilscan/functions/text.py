@@ -4,11 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+# fixed values: the zones that mail headers name
+MAIL_ZONES = {"AST": "-0400", "ADT": "-0300", "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500",
+              "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
+
 
 def strip_html(html: Column) -> Column:
-    """Readable text of a simple page: blocks and scripts out, breaks to newlines, tags to spaces."""
-    # fixed values: the four patterns
-    text = F.regexp_replace(html, r"(?is)<(script|style).*?</\1>", " ")
+    """Readable text of a simple page: blocks and scripts out, breaks to newlines, tags to spaces.
+
+    A block that is never closed stays. It is matched up to the end of the text and put back, so that many of
+    them are looked through once; script blocks go before style blocks."""
+    text = html
+    for name in ("script", "style"):
+        text = F.regexp_replace(text, rf"(?is)<{name}.*?</{name}>|(<{name}.*)", "\u0002$1")
+        text = F.regexp_replace(F.regexp_replace(text, rf"(?i)\u0002(?=<{name})", ""), "\u0002", " ")
+    # fixed values: the patterns here and above
     text = F.regexp_replace(text, r"(?i)<br\s*/?>|</p>|</div>|</tr>", "\n")
     text = F.regexp_replace(text, r"<[^>]+>", " ")
     return F.regexp_replace(text, r"[ \t]+", " ")
@@ -20,9 +30,11 @@ def join_subject(subject: Column, body: Column) -> Column:
     return F.when(clean != "", F.concat(clean, F.lit("\n\n"), body)).otherwise(body)
 
 
-def truncate(text: Column, limit: int) -> dict[str, Column]:
-    """Columns ``text`` (cut), ``char_count`` (after the cut) and ``truncated``."""
+def truncate(text: Column, limit: int | None) -> dict[str, Column]:
+    """Columns ``text`` (cut), ``char_count`` (after the cut) and ``truncated``; without a limit nothing is cut."""
     value = F.coalesce(text, F.lit(""))
+    if limit is None:
+        return {"text": value, "char_count": F.length(value), "truncated": F.lit(False)}
     cut = F.left(value, F.lit(limit))
     return {"text": cut, "char_count": F.length(cut), "truncated": F.length(value) > limit}
 
@@ -77,10 +89,18 @@ def format_eur(amount: Column) -> Column:
 
 
 def mail_date(value: Column) -> Column:
-    """RFC 2822 date to a UTC timestamp; NULL when it cannot be read. No zone means UTC."""
+    """RFC 2822 date to a UTC timestamp; NULL when it cannot be read. No zone, or one nobody knows, means UTC.
+
+    Years of two digits are 1969 to 2068."""
     bare = F.regexp_replace(F.trim(value), r"^[A-Za-z]{3,9},\s*", "")
     bare = F.trim(F.regexp_replace(F.regexp_replace(bare, r"\s*\([^)]*\)\s*$", ""), r"\s+", " "))
-    bare = F.regexp_replace(bare, r"\s(?:UTC|GMT|UT)$", " +0000")
+    short = r"^(\d{1,2} [A-Za-z]{3}) (\d\d) "
+    century = F.when(F.regexp_extract(bare, short, 2) > "68", "19").otherwise("20")
+    bare = F.when(bare.rlike(short), F.concat(F.regexp_extract(bare, short, 1), F.lit(" "), century, F.regexp_replace(
+        bare, short, "$2 "))).otherwise(bare)
+    zone = F.upper(F.regexp_extract(bare, r"\s([A-Za-z]{1,5})$", 1))
+    offset = F.coalesce(*[F.when(zone == name, offset) for name, offset in MAIL_ZONES.items()], F.lit("+0000"))
+    bare = F.when(zone != "", F.concat(F.regexp_replace(bare, r"\s[A-Za-z]{1,5}$", " "), offset)).otherwise(bare)
     with_seconds = F.when(bare.rlike(r"\d:\d\d:\d\d"), bare).otherwise(
         F.regexp_replace(bare, r"(\d{1,2}:\d\d)", "$1:00"))
     zoned = F.when(with_seconds.rlike(r"[+-]\d{4}$"), with_seconds).otherwise(

@@ -125,19 +125,26 @@ def fold_island(xs: Column) -> Column:
 _BLOCK = 64
 
 
-def _reach(ends: Column) -> Column:
-    """For every index the largest end in front of it, through blocks of ``_BLOCK``."""
-    last = F.floor((F.size(ends) - 1) / _BLOCK).cast("int")
-    tops = F.transform(F.sequence(F.lit(0), last),
-                       lambda b: F.array_max(F.slice(ends, b * _BLOCK + 1, F.lit(_BLOCK))))
+def _block_tops(numbers: Column) -> Column:
+    last = F.floor((F.size(numbers) - 1) / _BLOCK).cast("int")
+    return F.transform(F.sequence(F.lit(0), last),
+                       lambda b: F.array_max(F.slice(numbers, b * _BLOCK + 1, F.lit(_BLOCK))))
 
-    def before(tops: Column) -> Column:
-        prior = F.transform(tops, lambda _, b: F.coalesce(F.array_max(F.slice(tops, F.lit(1), b)), F.lit(0)))
-        return let(prior, lambda p: F.transform(ends, lambda _, i: F.greatest(
-            F.element_at(p, F.floor(i / _BLOCK).cast("int") + 1),
-            F.array_max(F.slice(ends, F.floor(i / _BLOCK).cast("int") * _BLOCK + 1, i % _BLOCK)))))
 
-    return let(tops, before)
+def _reach(ends: Column) -> Column:
+    """For every index the largest end in front of it, through blocks of ``_BLOCK``."""
+    def ahead(numbers: Column, starts: Column) -> Column:
+        """Per number the largest of its block's start and the block's numbers in front of it."""
+        block = lambda i: F.floor(i / _BLOCK).cast("int")
+        return F.transform(numbers, lambda _, i: F.greatest(
+            F.element_at(starts, block(i) + 1), F.array_max(F.slice(numbers, block(i) * _BLOCK + 1, i % _BLOCK))))
+
+    def starts_of(highest: Column) -> Column:
+        return F.transform(highest, lambda _, t: F.coalesce(F.array_max(F.slice(highest, F.lit(1), t)), F.lit(0)))
+
+    # by way of blocks of blocks, so that very many spans do not cost the square of their number
+    return let(_block_tops(ends), lambda tops: let(_block_tops(tops), lambda highest: let(
+        starts_of(highest), lambda s: let(ahead(tops, s), lambda prior: ahead(ends, prior)))))
 
 
 def _islands(xs: Column) -> Column:

@@ -2,7 +2,8 @@
 
 A rule is data. ``veilscan.operators.spans`` compiles the table to columns, so adding a rule
 needs no new plan code. Patterns use Java syntax, ASCII digits on purpose, explicit borders
-instead of ``\\b`` and bounded look-behind only (an unbounded one silently matches nothing).
+instead of ``\\b`` and bounded look-behind only (an unbounded one silently matches nothing);
+what has no bound between a cue and its value is a group of its own, see ``Rule.value``.
 Every match is at least two characters long; the context windows rely on that.
 """
 
@@ -31,7 +32,7 @@ GATES = {
     "unit": r"[0-9][\s\x{00A0}]*[LlCcIiRrUu]",
     "label": r":[ \t]*[A-Z][a-z]",
     "dotted": r"[0-9]\.[0-9]",
-    "colon": "[0-9A-Fa-f]:[0-9A-Fa-f:]",
+    "colon": "[0-9A-Fa-f:]:[0-9A-Fa-f:]",
     "year": "(?:19|20)[0-9]{2}",
 }
 
@@ -55,10 +56,9 @@ class Rule:
     adjust: Callable[[Column, Column], Column] | None = None
     gate: str | None = None
     boost_words: tuple[str, ...] = ()
-
-    @property
-    def needs_window(self) -> bool:
-        return bool(self.context or self.adjust or self.boost_words)
+    # groups of the pattern: what stands in front of the value, and the value
+    lead: str = ""
+    value: str = "$0"
 
 
 def word_pattern(words: tuple[str, ...]) -> str:
@@ -114,6 +114,12 @@ def _positive(value: Column) -> Column:
     return F.when(value.rlike("[1-9]"), F.lit(None).cast("boolean")).otherwise(False)
 
 
+def _ipv6(value: Column) -> Column:
+    """A ``::`` stands for one group at least, so no more than seven others are beside it."""
+    groups = F.size(F.filter(F.split(value, ":"), lambda g: g != ""))
+    return F.when(F.contains(value, F.lit("::")) & (groups > 7), False)
+
+
 def _no_stop_word(value: Column) -> Column:
     words = F.split(F.lower(value), " ")
     stop = F.array(*[F.lit(w) for w in fv.NAME_STOP_WORDS])
@@ -146,8 +152,9 @@ def _aadhaar_label_wins(before: Column, score: Column) -> Column:
 _AMOUNT = r"[0-9]{1,3}(?:[,0-9]*[0-9])?(?:\.[0-9]{1,2})?"
 _GAP = r"[\s\x{00A0}]*"
 _NAME = r"[A-Z][a-z]+(?: [A-Z][a-z]+){1,2}" + _CLOSE
-# the cheap look-ahead comes first: it fails at almost every position
-_NAME_AHEAD = r"(?m)(?=[A-Z][a-z]+ [A-Z][a-z])(?<=[ \t:])"
+# cheap look-aheads come first: they fail at almost every position, and in a run of blanks only the first one is tried
+_AHEAD = "[A-Z][a-z]+ [A-Z][a-z]"
+_BEHIND = r"(?<=(?:^|[^A-Za-z])(?i:"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _HEX = r"[0-9A-Fa-f]{1,4}"
 _MONTH = (r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?"
@@ -186,21 +193,24 @@ RULES: tuple[Rule, ...] = (
          boost_words=("patient", "doctor", "dr", "treatment", "medical", "clinic", "leave",
                       "diagnosed", "suffering", "recovering", "admitted")),
     Rule("name_after_label", "PERSON",
-         _NAME_AHEAD + r"(?<=(?:^|[^A-Za-z])(?i:" + "|".join(fv.NAME_LABELS)
-         + r")[ \t]{0,40}:[ \t]{0,40})" + _NAME, 0.9, validate=_no_stop_word, gate="label"),
+         rf"(?m)(?<!\s)(?=[ \t]*+:[ \t]*+{_AHEAD})({_BEHIND}{'|'.join(fv.NAME_LABELS)}))[ \t]*+:[ \t]*+)({_NAME})",
+         0.9, validate=_no_stop_word, gate="label", lead="$1", value="$2"),
     Rule("name_after_cue", "PERSON",
-         _NAME_AHEAD + r"(?<=(?:^|[^A-Za-z])(?i:" + "|".join(fv.NAME_CUES) + r")[ \t]{1,40})" + _NAME,
-         0.6, validate=_no_stop_word),
+         rf"(?m)(?<!\s)(?=\s++{_AHEAD})({_BEHIND}{'|'.join(fv.NAME_CUES)}))[ \t]++"
+         rf"|{_BEHIND}{'|'.join(fv.NAME_CLOSINGS)}))\s*\n[ \t]++)({_NAME})",
+         0.6, validate=_no_stop_word, lead="$1", value="$2"),
     Rule("email", "EMAIL_ADDRESS",
          r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.){1,126}[A-Za-z]{2,24}(?![A-Za-z0-9])",
          0.5, validate=_sure, gate="at"),
     Rule("ipv4", "IP_ADDRESS", rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])", 0.6,
          boost_words=("ip", "ipv4"), gate="dotted"),
     Rule("ipv6", "IP_ADDRESS",
-         rf"(?<![0-9A-Za-z:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![0-9A-Za-z:])",
-         0.6, boost_words=("ip", "ipv6"), gate="colon"),
+         rf"(?<![0-9A-Za-z:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}"
+         rf"|::(?:{_HEX}:){{0,6}}{_HEX}|(?:{_HEX}:){{1,7}}:)(?![0-9A-Za-z:])",
+         0.6, validate=_ipv6, boost_words=("ip", "ipv6"), gate="colon"),
     Rule("card", "CREDIT_CARD",
-         r"(?<![0-9A-Za-z_-])(?:[3-6][0-9]{3}(?:[ -]?[0-9]{4}){3}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5})"
+         r"(?<![0-9A-Za-z_-])(?:[3-6][0-9]{3}(?:[ -]?[0-9]{4}){3}(?:[ -]?[0-9]{3})?|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}"
+         r"|4[0-9]{3}(?:[ -]?[0-9]{3}){3}|3(?:0[0-5]|[68][0-9])[0-9][ -]?[0-9]{6}[ -]?[0-9]{4})"
          r"(?![0-9A-Za-z_-])", 0.3, validate=_card, gate="number"),
     Rule("us_ssn", "US_SSN",
          r"(?<![0-9A-Za-z-])(?!000|666|9[0-9]{2})[0-9]{3}([- .])(?!00)[0-9]{2}\1(?!0000)[0-9]{4}"
@@ -223,9 +233,3 @@ RULES: tuple[Rule, ...] = (
          rf"|{_MONTH} (?:0?[1-9]|[12][0-9]|3[01])(?:st|nd|rd|th)?,? (?:19|20)[0-9]{{2}}){_CLOSE}", 0.6,
          gate="year"),
 )
-
-
-def rules_for(entities: tuple[str, ...]) -> tuple[Rule, ...]:
-    """The rules whose entity is asked for."""
-    wanted = set(entities)
-    return tuple(r for r in RULES if r.entity in wanted)

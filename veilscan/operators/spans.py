@@ -61,15 +61,24 @@ def stage(df: DataFrame, column: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(column))
 
 
+def _total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, n: a + n)
+
+
+def _block_sums(numbers: Column) -> Column:
+    last = F.floor((F.size(numbers) - 1) / _BLOCK).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda b: _total(F.slice(numbers, b * _BLOCK + 1, F.lit(_BLOCK))))
+
+
 def _block_starts(lengths: Column) -> Column:
-    """Summed length in front of every block of ``_BLOCK`` pieces."""
-    last = F.floor((F.size(lengths) - 1) / _BLOCK).cast("int")
-    sums = F.transform(
-        F.sequence(F.lit(0), last),
-        lambda b: F.aggregate(F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK)), F.lit(0), lambda a, n: a + n),
-    )
-    return let(sums, lambda s: F.transform(
-        s, lambda _, b: F.aggregate(F.slice(s, F.lit(1), b), F.lit(0), lambda a, n: a + n)))
+    """Summed length in front of every block of ``_BLOCK`` pieces, by way of blocks of blocks."""
+
+    def within(sums: Column, tops: Column) -> Column:
+        starts = F.transform(tops, lambda _, t: _total(F.slice(tops, F.lit(1), t)))
+        return let(starts, lambda ts: F.transform(sums, lambda _, b: F.element_at(
+            ts, F.floor(b / _BLOCK).cast("int") + 1) + _total(F.slice(sums, F.floor(b / _BLOCK).cast("int") * _BLOCK + 1, b % _BLOCK))))
+
+    return let(_block_sums(lengths), lambda s: let(_block_sums(s), lambda t: within(s, t)))
 
 
 def _spans(parts: Column, windowed: Column) -> Column:
@@ -106,7 +115,7 @@ def _spans(parts: Column, windowed: Column) -> Column:
 
 
 def _pieces(text: Column, rule: R.Rule) -> Column:
-    cut = F.split(F.regexp_replace(text, rule.pattern, MARK + "$0" + MARK), MARK)
+    cut = F.split(F.regexp_replace(text, rule.pattern, rule.lead + MARK + rule.value + MARK), MARK)
     found = text.rlike(rule.pattern)
     return F.when(F.col("_gate_" + rule.gate) & found if rule.gate else found, cut)
 
