@@ -15,7 +15,7 @@ class Settings:
     """
 
     # ingestion
-    max_text_length: int = 200_000
+    max_text_length: int | None = None  # whole texts; a limit cuts what is looked at and sets ``truncated``
     max_table_rows: int | None = None  # all rows
     extensions: tuple[str, ...] = fv.EXTENSIONS
     excluded_names: tuple[str, ...] = fv.EXCLUDED_NAMES

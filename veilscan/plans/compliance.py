@@ -13,29 +13,27 @@ from veilscan.operators.score import friendly
 from veilscan.plans import reports as RP
 
 
-def regulation(spark) -> DataFrame:
-    """The regulatory map, one row per entity type."""
-    return spark.createDataFrame(
-        [(k, *v) for k, v in fv.REGULATION.items()],
-        "entity_type string, dpdp_category string, higher boolean, gdpr_category string, money boolean")
+def regulation(entity: Column) -> Column:
+    """The regulatory map's entry of a type, (dpdp, higher, gdpr, money), as a literal: no rows are made for it."""
+    def entry(values: tuple) -> Column:
+        return F.struct(*[F.lit(v).alias(n) for n, v in zip(("dpdp", "higher", "gdpr", "money"), values, strict=True)])
+
+    known = F.create_map(*[x for k, v in fv.REGULATION.items() for x in (F.lit(k), entry(v))])
+    return F.coalesce(F.try_element_at(known, entity), entry(fv.REGULATION_DEFAULT))
 
 
 def compliance_table(types: DataFrame) -> DataFrame:
-    """Types found, with their categories and counts. The map is a fixed 17 rows, so broadcast."""
+    """Types found, with their categories and counts."""
     per = types.groupBy("entity_type").agg(F.sum("n").alias("findings"), F.count("*").alias("documents"))
-    dpdp, higher, gdpr, money = fv.REGULATION_DEFAULT
 
     def yes(flag: Column) -> Column:
         return F.when(flag, "Yes").otherwise("No")
 
-    joined = per.join(F.broadcast(regulation(types.sparkSession)), "entity_type", "left")
-    category = F.coalesce("gdpr_category", F.lit(gdpr))
-    return joined.select(
-        "entity_type", F.coalesce("dpdp_category", F.lit(dpdp)).alias("dpdp_category"),
-        yes(F.coalesce("higher", F.lit(higher))).alias("dpdp_higher_risk"),
-        category.alias("gdpr_category"),
-        yes(F.startswith(category, F.lit("Special"))).alias("gdpr_special_category"),
-        yes(F.coalesce("money", F.lit(money))).alias("financial"),
+    return per.withColumn("r", regulation(F.col("entity_type"))).select(
+        "entity_type", F.col("r.dpdp").alias("dpdp_category"), yes(F.col("r.higher")).alias("dpdp_higher_risk"),
+        F.col("r.gdpr").alias("gdpr_category"),
+        yes(F.startswith(F.col("r.gdpr"), F.lit("Special"))).alias("gdpr_special_category"),
+        yes(F.col("r.money")).alias("financial"),
         "findings", "documents",
     ).orderBy(F.desc("findings"), "entity_type")
 
@@ -85,7 +83,15 @@ def kpi_row(docs: DataFrame, unique: DataFrame, settings: Settings = DEFAULT) ->
 
     ``unique`` is ``reports.unique_identifiers``. Both inputs are reduced to one row first.
     """
-    base = beside(RP.level_totals(docs), RP.unique_summary(unique))
+    return _kpi(beside(RP.level_totals(docs), RP.unique_summary(unique)), settings)
+
+
+def kpi_of(counted: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """The same from ``reports.tally``, with one pass over the documents."""
+    return _kpi(RP.totals_of_tally(counted), settings)
+
+
+def _kpi(base: DataFrame, settings: Settings) -> DataFrame:
     people = F.col("unique_individuals_estimate")
     row = base.withColumns(exposure(people, F.col("docs_high"), F.col("docs_medium"), F.col("docs_with_pii"), settings))
     turnover = F.lit(settings.turnover_eur)
@@ -115,7 +121,19 @@ def narrative(docs: DataFrame, types: DataFrame, unique: DataFrame, settings: Se
     top = widest.agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["label"]).alias("top"))
     main = RP.dominant_high_filetype(docs).agg(F.first("file_type").alias("main_type"),
                                                F.first("documents").alias("main_docs"))
-    row = beside(RP.level_totals(docs), RP.unique_summary(unique), top, main)
+    return _sentences(beside(RP.level_totals(docs), RP.unique_summary(unique), top, main))
+
+
+def narrative_of(counted: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """The same from ``reports.tally``, with one pass over the documents."""
+    wanted = F.filter("types", lambda t: ~t["entity_type"].isin(*settings.unscored))
+    top = F.transform(F.slice(wanted, 1, 3), lambda t: F.concat(
+        friendly(t["entity_type"], F.lit(2)), F.lit(" ("), (-t["k"]).cast("string"), F.lit(" files)")))
+    return _sentences(RP.totals_of_tally(counted).withColumn("top", top))
+
+
+def _sentences(row: DataFrame) -> DataFrame:
+    # fixed values: the sentences
     n = F.col("docs_scanned")
 
     def with_share(column: str) -> Column:

@@ -32,13 +32,17 @@ def _mean(total: Column, count: Column) -> Column:
     return F.round(total.cast("decimal(28,6)") / count, 3).cast("decimal(10,3)")
 
 
-def documents_export(docs: DataFrame) -> DataFrame:
-    """Stored documents without the snippet, riskiest first."""
+def documents_export(docs: DataFrame, ordered: bool = True) -> DataFrame:
+    """Stored documents without the snippet, riskiest first.
+
+    Take ``ordered=False``, here and below, for documents that are not stored: a sort reads its input twice,
+    to sample and to sort, and would run the detection behind it twice."""
     kept = [c for c in docs.columns if c not in ("masked_snippet", "sensitive_records", "findings", "digests")]
-    return docs.select(*kept).orderBy(F.desc("risk_score"), "doc_id")
+    rows = docs.select(*kept)
+    return rows.orderBy(F.desc("risk_score"), "doc_id") if ordered else rows
 
 
-def findings_summary(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+def findings_summary(docs: DataFrame, found: DataFrame | None = None, ordered: bool = True) -> DataFrame:
     """Per document and type: findings, highest and mean confidence.
 
     Documents that carry their findings need no join; stored findings are joined by id.
@@ -47,9 +51,9 @@ def findings_summary(docs: DataFrame, found: DataFrame | None = None) -> DataFra
         per = type_rows(docs, "path", "risk_level")
     else:
         per = type_rows_of(found).join(docs.select("doc_id", "path", "risk_level"), "doc_id")
-    return (per.select("doc_id", "path", "risk_level", "entity_type", F.col("n").alias("findings"),
-                       F.col("top").alias("max_confidence"), _mean(F.col("sure"), F.col("n")).alias("avg_confidence"))
-            .orderBy("doc_id", F.desc("findings"), "entity_type"))
+    rows = per.select("doc_id", "path", "risk_level", "entity_type", F.col("n").alias("findings"),
+                      F.col("top").alias("max_confidence"), _mean(F.col("sure"), F.col("n")).alias("avg_confidence"))
+    return rows.orderBy("doc_id", F.desc("findings"), "entity_type") if ordered else rows
 
 
 def unique_identifiers(docs: DataFrame) -> DataFrame:
@@ -84,16 +88,64 @@ def entity_counts(types: DataFrame, unique: DataFrame | None = None) -> DataFram
     return per.orderBy(F.desc("findings"), "entity_type")
 
 
-def levels(spark) -> DataFrame:
-    return spark.createDataFrame([(n, i) for i, n in enumerate(fv.LEVELS)], "risk_level string, level_order int")
-
-
 def level_counts(docs: DataFrame) -> DataFrame:
-    """Documents per level, with zero for a level nobody has."""
-    counted = docs.groupBy("risk_level").agg(F.count("*").alias("documents"))
-    return (F.broadcast(levels(docs.sparkSession)).join(counted, "risk_level", "left")
-            .select("risk_level", F.coalesce("documents", F.lit(0)).alias("documents"), "level_order")
-            .orderBy("level_order").drop("level_order"))
+    """Documents per level, riskiest first, with zero for a level nobody has."""
+    per = [F.struct(F.lit(n).alias("risk_level"), F.count_if(F.col("risk_level") == n).alias("documents")) for n in fv.LEVELS]
+    return docs.agg(F.array(*per).alias("levels")).select(F.inline("levels"))
+
+
+def tally(docs: DataFrame) -> DataFrame:
+    """(kind, key, documents, findings, sure, unique_values, toxic) of scored documents with digests, in one pass over them.
+
+    Kinds: a risk level, a file type's High documents, an entity type, an identifier group. Each document gives its rows, which are
+    counted per digest and then per key, both times with partial counts, so no key is one task's work.
+    There are as many rows as levels, file types, entity types and groups; what a report needs is picked from them."""
+    nothing, none = F.lit(0).cast("bigint"), F.lit(None).cast("string")
+
+    def row(kind: str, key: Column, digest: Column = none, n: Column = nothing, sure: Column = nothing, toxic: Column = F.lit(False)) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), key.alias("key"), digest.alias("digest"), n.cast("bigint").alias("n"),
+                        sure.cast("decimal(28,3)").alias("sure"), toxic.alias("toxic"))
+
+    high = F.when(F.col("risk_level") == "High", F.array(row("high file type", F.col("file_type"))))
+    rows = F.concat(
+        F.array(row("level", F.col("risk_level"), toxic=F.col("toxic"))), F.coalesce(high, F.array()),
+        F.transform(totals_of(F.col("findings")), lambda t: row("type", t["entity_type"], n=t["n"], sure=t["sure"])),
+        F.transform("digests", lambda d: row("identifier", d["id_group"], d["digest"])))
+    per_digest = docs.select(F.inline(rows)).groupBy("kind", "key", "digest").agg(
+        F.count("*").alias("documents"), F.sum("n").alias("findings"), F.sum("sure").alias("sure"), F.count_if("toxic").alias("toxic"))
+    return per_digest.groupBy("kind", "key").agg(
+        F.sum("documents").alias("documents"), F.sum("findings").alias("findings"), F.sum("sure").alias("sure"),
+        F.count("digest").alias("unique_values"), F.sum("toxic").alias("toxic"))
+
+
+def totals_of_tally(counted: DataFrame) -> DataFrame:
+    """One row from a tally: the columns of ``level_totals`` and ``unique_summary``, the types by documents, and the main High file type."""
+
+    def documents(*found: str) -> Column:
+        return F.coalesce(F.sum(F.when((F.col("kind") == "level") & F.col("key").isin(*found), F.col("documents"))), F.lit(0).cast("bigint"))
+
+    ids = F.when(F.col("kind") == "identifier", F.col("unique_values"))
+    ranked = F.struct((-F.col("documents")).alias("k"), F.col("key").alias("entity_type"))
+    main = F.min(F.when(F.col("kind") == "high file type", F.struct((-F.col("documents")).alias("k"), F.col("key").alias("file_type"))))
+    return counted.agg(
+        documents(*fv.LEVELS).alias("docs_scanned"),
+        *[documents(n).alias(f"docs_{n.lower()}") for n in fv.LEVELS],
+        documents(*[n for n in fv.LEVELS if n != "Clean"]).alias("docs_with_pii"),
+        F.coalesce(F.sum("toxic"), F.lit(0)).alias("docs_toxic"),
+        F.coalesce(F.sum(ids), F.lit(0)).alias("unique_identifiers_total"),
+        F.coalesce(F.max(ids), F.lit(0)).alias("unique_individuals_estimate"),
+        F.array_sort(F.collect_list(F.when(F.col("kind") == "type", ranked))).alias("types"),
+        main["file_type"].alias("main_type"), (-main["k"]).alias("main_docs"))
+
+
+def entity_counts_of(counted: DataFrame) -> DataFrame:
+    """``entity_counts`` with ``unique_values``, from a tally: its few rows are put into one."""
+    of = lambda kind, *names: F.collect_list(F.when(F.col("kind") == kind, F.struct("key", *names)))
+    one = counted.agg(of("type", "findings", "documents", "sure").alias("types"), of("identifier", "unique_values").alias("ids"))
+    per = one.select("ids", F.inline("types"))
+    own = F.filter("ids", lambda i: i["key"] == masking.identifier_group(F.col("key")))
+    return per.select(F.col("key").alias("entity_type"), "findings", "documents", _mean(F.col("sure"), F.col("findings")).alias("avg_confidence"),
+                      F.get(own, 0)["unique_values"].alias("unique_values")).orderBy(F.desc("findings"), "entity_type")
 
 
 def level_totals(docs: DataFrame) -> DataFrame:
@@ -157,8 +209,9 @@ def top_senders(docs: DataFrame, n: int = 10) -> DataFrame:
 
 
 def explorer(docs: DataFrame, levels: tuple[str, ...] = (), entities: tuple[str, ...] = (),
-             file_types: tuple[str, ...] = (), sender: str | None = None, query: str = "") -> DataFrame:
-    """Documents that meet every given choice; an empty choice filters nothing."""
+             file_types: tuple[str, ...] = (), sender: str | None = None, query: str = "",
+             ordered: bool = True) -> DataFrame:
+    """Documents that meet every given choice, riskiest first; an empty choice filters nothing."""
     view = docs
     if levels:
         view = view.where(F.col("risk_level").isin(*levels))
@@ -175,10 +228,10 @@ def explorer(docs: DataFrame, levels: tuple[str, ...] = (), entities: tuple[str,
         for field in fields:
             hit = hit | F.contains(F.lower(F.coalesce(field, F.lit(""))), needle)
         view = view.where(hit)
-    return (view.select("doc_id", "risk_level", "risk_score", T.file_name(F.col("path")).alias("file_name"),
-                        "file_type", "sender", F.date_format("date", "yyyy-MM-dd").alias("date"),
-                        "finding_count", "reason")
-            .orderBy(F.desc("risk_score"), "doc_id"))
+    rows = view.select("doc_id", "risk_level", "risk_score", T.file_name(F.col("path")).alias("file_name"),
+                       "file_type", "sender", F.date_format("date", "yyyy-MM-dd").alias("date"),
+                       "finding_count", "reason")
+    return rows.orderBy(F.desc("risk_score"), "doc_id") if ordered else rows
 
 
 def filter_choices(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -47,8 +48,9 @@ def scan_documents(docs: DataFrame, settings: Settings = DEFAULT, key: bytes | N
     keyed = D.with_digests(SP.stage(raw, "findings", D.masked(F.col("found"))), settings, key)
     snippet = masking.masked_snippet(F.left("text", F.lit(settings.snippet_chars)), F.length("text"),
                                      F.col("findings"), settings.snippet_chars)
+    error = ["error"] if "error" in docs.columns else []
     masked = keyed.select(
-        "doc_id", F.col("source_path").alias("path"), "file_type", "sender", "date",
+        *error, "doc_id", F.col("source_path").alias("path"), "file_type", "sender", "date",
         masked_subject(F.col("subject"), F.col("text"), F.col("findings")).alias("subject"),
         "char_count", "truncated", snippet.alias("masked_snippet"), "findings", "digests")
     return SC.score_documents(masked, settings)
@@ -85,21 +87,25 @@ def settings_record(source: str, path: str, limit: int | None, redact: bool,
         F.lit(settings.max_text_length).alias("max_text_length")))
 
 
-def run_scan(spark: SparkSession, docs: DataFrame, skipped: DataFrame, base: str, source: str = "frame",
+def run_scan(spark: SparkSession, parsed: DataFrame, base: str, source: str = "frame",
              root: str = "", settings: Settings = DEFAULT, limit: int | None = None, redact: bool = True,
              truth: DataFrame | None = None,
              fetch: Callable[[list[str]], DataFrame] | None = None) -> ScanResult:
     """Scan documents and store everything under ``base``.
 
+    ``parsed`` has the columns of ``files.DOCUMENT_COLUMNS`` and ``error``; rows with an error are skipped. It is read once.
     ``fetch`` gives (doc_id, text) for a handful of source paths, so that redaction does not
     read the corpus again; without it the document frame is filtered.
     """
-    scan_id = int(time.time() * 1000)
-    started = F.timestamp_millis(F.lit(scan_id))
+    # microseconds, and a random part, so that scans started together do not share an id
+    scan_id = time.time_ns() // 1000 * 1000 + random.randrange(1000)
+    started = F.timestamp_micros(F.lit(scan_id // 1000))
 
     # One pass over the text; everything below reads what it wrote. The settled table holds
     # masked values and keyed digests whose key is gone, never raw values.
-    scanned = settle(scan_documents(docs, settings))
+    rows = settle(scan_documents(parsed, settings))
+    scanned = rows.where(F.col("error").isNull()).drop("error")
+    skipped = rows.where(F.col("error").isNotNull()).select("path", "error")
     store.write(scanned, base, "documents", scan_id)
     store.write(D.explode_findings(scanned), base, "findings", scan_id)
     store.write(skipped, base, "skipped", scan_id)
@@ -111,7 +117,7 @@ def run_scan(spark: SparkSession, docs: DataFrame, skipped: DataFrame, base: str
     top = []
     if redact:
         top = [r.path for r in RP.ranked_documents(scanned, settings.top_redacted).select("path").collect()]
-        texts = fetch(top) if fetch else docs.where(F.col("source_path").isin(*top))
+        texts = fetch(top) if fetch else parsed.where(F.col("source_path").isin(*top))
         store.write_redacted(RM.redact_top(scanned, texts, settings), base, scan_id)
 
     types = RP.type_rows(scanned)
@@ -135,17 +141,22 @@ def run_scan(spark: SparkSession, docs: DataFrame, skipped: DataFrame, base: str
 def scan_folder(spark: SparkSession, folder: str, base: str, limit: int | None = None,
                 settings: Settings = DEFAULT, redact: bool = True, truth_path: str | None = None) -> ScanResult:
     """Scan a folder of files."""
-    docs, skipped = files.read_folder(spark, folder, limit, settings)
+    parsed = files.parsed_folder(spark, folder, limit, settings)
     truth = EV.read_truth(spark, truth_path) if truth_path else None
 
     def fetch(paths: list[str]) -> DataFrame:
-        return files.read_paths(spark, paths, settings)[0] if paths else docs.limit(0)
+        return files.read_paths(spark, paths, settings)[0] if paths else parsed.limit(0)
 
-    return run_scan(spark, docs, skipped, base, "folder", folder.rstrip("/"), settings, limit, redact, truth, fetch)
+    return run_scan(spark, parsed, base, "folder", folder.rstrip("/"), settings, limit, redact, truth, fetch)
 
 
 def scan_mail_corpus(spark: SparkSession, path: str, base: str, limit: int | None = None,
                      settings: Settings = DEFAULT, redact: bool = True) -> ScanResult:
     """Scan a CSV of raw messages."""
-    docs, skipped = files.read_mail_corpus(spark, path, limit, settings)
-    return run_scan(spark, docs, skipped, base, "mail", path, settings, limit, redact)
+    raw = files.raw_messages(spark, path, limit)
+
+    def fetch(paths: list[str]) -> DataFrame:
+        wanted = raw.where(files.message_path(F.col("file"), "enron").isin(*paths))
+        return files.parsed_messages(wanted, settings, "enron")
+
+    return run_scan(spark, files.parsed_messages(raw, settings, "enron"), base, "mail", path, settings, limit, redact, fetch=fetch)

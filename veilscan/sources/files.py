@@ -1,7 +1,8 @@
 """Folders of mixed files and mail corpora as document frames.
 
-Readers return ``(documents, skipped)``. Both come from one parsed frame; a file that cannot be
-read becomes a skipped row and the rest of the scan goes on.
+Parsing gives one frame, in which a file that cannot be read is a row with an ``error``; ``split`` makes
+``(documents, skipped)`` of it, which is what the readers return. Whoever needs both from one pass, as a scan does, takes
+the parsed frame.
 """
 
 from __future__ import annotations
@@ -85,8 +86,14 @@ def _sheet_text(tables: Column, kind: Column) -> Column:
     return F.transform(tables, one)
 
 
-def _assemble(parsed: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
-    """Parsed rows (path, file_type, mtime and the parser columns) to documents and skipped."""
+def split(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents, and what was skipped: (path, error)."""
+    return (parsed.where(F.col("error").isNull()).drop("error"),
+            parsed.where(F.col("error").isNotNull()).select(F.col("source_path").alias("path"), "error"))
+
+
+def _assemble(parsed: DataFrame, settings: Settings) -> DataFrame:
+    """Parsed rows (path, file_type, mtime and the parser columns) to documents with ``error``."""
     pieces = F.transform(F.coalesce("parts", F.array().cast("array<struct<kind:string,text:string>>")), lambda p:
                          F.when(p["kind"] == "html", T.strip_html(p["text"])).otherwise(p["text"]))
     sheets = _sheet_text(F.coalesce("tables", F.array().cast(
@@ -97,35 +104,45 @@ def _assemble(parsed: DataFrame, settings: Settings) -> tuple[DataFrame, DataFra
                        F.when(F.size(sheets) > 0, sheet_gap))
     subject = F.btrim(F.coalesce("subject", F.lit("")), F.lit(" \t\r\n"))
     cut = T.truncate(F.col("_text"), settings.max_text_length)
-    documents = (
-        parsed.where(F.col("error").isNull())
-        .withColumn("_text", T.join_subject(subject, body))
+    return (
+        parsed.withColumn("_text", F.when(F.col("error").isNull(), T.join_subject(subject, body)))
         .select(
             document_id(F.col("path")).alias("doc_id"), F.col("path").alias("source_path"), "file_type",
             F.coalesce("sender", F.lit("")).alias("sender"),
             F.coalesce("recipients", F.lit("")).alias("recipients"),
             F.coalesce(F.try_to_timestamp("date"), "mtime").alias("date"),
-            F.left(subject, F.lit(settings.max_text_length)).alias("subject"),
-            cut["text"].alias("text"), cut["char_count"].alias("char_count"), cut["truncated"].alias("truncated"))
+            T.truncate(subject, settings.max_text_length)["text"].alias("subject"),
+            cut["text"].alias("text"), cut["char_count"].alias("char_count"), cut["truncated"].alias("truncated"), "error")
     )
-    skipped = parsed.where(F.col("error").isNotNull()).select("path", "error")
-    return documents, skipped
 
 
 def read_folder(spark: SparkSession, folder: str, limit: int | None = None,
                 settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """Every supported file below a folder, or the first ``limit`` of them by path."""
+    return split(parsed_folder(spark, folder, limit, settings))
+
+
+def parsed_folder(spark: SparkSession, folder: str, limit: int | None = None, settings: Settings = DEFAULT) -> DataFrame:
+    """The same as one frame, with ``error``."""
     if limit:
-        return read_paths(spark, first_paths(spark, folder, limit, settings), settings)
+        return _read(spark, [_literal_path(p) for p in first_paths(spark, folder, limit, settings)], settings)
     return _read(spark, folder, settings)
 
 
 def read_paths(spark: SparkSession, paths: list[str], settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """The given files only."""
-    return _read(spark, [_literal_path(p) for p in paths], settings)
+    return split(_read(spark, [_literal_path(p) for p in paths], settings))
+
+
+def _read(spark: SparkSession, where: str | list[str], settings: Settings) -> DataFrame:
+    # two listings by name, so that no file is read for a branch that does not parse it
+    groups = [tuple(e for e in settings.extensions if (e == "txt") == plain) for plain in (False, True)]
+    frames = [parsed_files(_binary(spark, where, g), settings.with_(extensions=g)) for g in groups if g]
+    return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
 
 
-def _read(spark: SparkSession, where: str | list[str], settings: Settings) -> tuple[DataFrame, DataFrame]:
+def parsed_files(files: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """Files in a frame (``path``, ``content``, ``modificationTime``) as documents with ``error``."""
     max_rows = settings.max_table_rows
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -135,18 +152,15 @@ def _read(spark: SparkSession, where: str | list[str], settings: Settings) -> tu
             yield pd.concat([batch[["path", "file_type", "mtime"]],
                              pd.DataFrame(records, index=batch.index)], axis=1)
 
-    kinds = tuple(e for e in settings.extensions if e != "txt")
+    files = _wanted(files, settings)
     named = (F.col("path"), _extension(F.col("path")).alias("file_type"), F.col("modificationTime").alias("mtime"))
     schema = "path string, file_type string, mtime timestamp, " + P.PARSED
-    frames = []
-    if kinds:
-        files = _wanted(_binary(spark, where, kinds), settings).select(*named, "content")
-        frames.append(files.mapInPandas(parse, schema))
+    kinds = [e for e in settings.extensions if e != "txt"]
+    frames = [files.select(*named, "content").where(F.col("file_type").isin(*kinds)).mapInPandas(parse, schema)] if kinds else []
     if "txt" in settings.extensions:
         # plain text needs no Python: bad bytes become U+FFFD
-        files = _wanted(_binary(spark, where, ("txt",)), settings)
         body = F.make_valid_utf8(F.col("content").cast("string"))
-        frames.append(files.select(
+        frames.append(files.where(_extension(F.col("path")) == "txt").select(
             *named, F.lit(None).cast("string").alias("sender"), F.lit(None).cast("string").alias("recipients"),
             F.lit(None).cast("string").alias("date"), F.lit(None).cast("string").alias("subject"),
             F.array(F.struct(F.lit("text").alias("kind"), body.alias("text"))).alias("parts"),
@@ -162,6 +176,11 @@ def read_mail_corpus(spark: SparkSession, path: str, limit: int | None = None, s
 
     There is no file date to fall back on.
     """
+    return split(parsed_messages(raw_messages(spark, path, limit), settings, prefix))
+
+
+def raw_messages(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """The messages of a mail corpus, not parsed yet."""
     try:
         raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
     except AnalysisException as exc:
@@ -174,12 +193,21 @@ def read_mail_corpus(spark: SparkSession, path: str, limit: int | None = None, s
     if limit is not None:
         rows = rows.orderBy("file", "message").limit(limit)
     # a CSV with line ends in its fields is read by one task; parsing and detection run on all cores
-    return read_messages(rows.repartition(spark.sparkContext.defaultParallelism), settings, prefix)
+    return rows.repartition(spark.sparkContext.defaultParallelism)
 
 
 def read_messages(rows: DataFrame, settings: Settings = DEFAULT,
                   prefix: str = "mail") -> tuple[DataFrame, DataFrame]:
     """Raw RFC 822 messages in a frame (``file``, ``message``) as documents and skipped rows."""
+    return split(parsed_messages(rows, settings, prefix))
+
+
+def message_path(file: Column, prefix: str) -> Column:
+    return F.concat(F.lit(prefix + "/"), F.coalesce(file, F.lit("?")))
+
+
+def parsed_messages(rows: DataFrame, settings: Settings = DEFAULT, prefix: str = "mail") -> DataFrame:
+    """The same as one frame, with ``error``."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -187,7 +215,7 @@ def read_messages(rows: DataFrame, settings: Settings = DEFAULT,
             yield pd.concat([batch[["file"]], pd.DataFrame(records, index=batch.index)], axis=1)
 
     parsed = rows.mapInPandas(parse, "file string, " + P.PARSED).select(
-        F.concat(F.lit(prefix + "/"), F.coalesce("file", F.lit("?"))).alias("path"),
+        message_path(F.col("file"), prefix).alias("path"),
         F.lit(prefix + "_email").alias("file_type"), F.lit(None).cast("timestamp").alias("mtime"),
         "sender", "recipients", "date", "subject", "parts", "tables", "error")
     return _assemble(parsed, settings)

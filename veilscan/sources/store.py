@@ -32,12 +32,13 @@ def write(df: DataFrame, base: str, table: str, scan_id: int) -> None:
 
 
 def write_redacted(copies: DataFrame, base: str, scan_id: int) -> None:
-    """Replace the redacted copies of the previous scan and record the new ones.
+    """Write a scan's redacted copies below its id and record them.
 
     The copies are at most a handful of rows (``Settings.top_redacted``).
     """
-    copies.write.mode("overwrite").parquet(f"{base}/redacted")
-    kept = copies.sparkSession.read.parquet(f"{base}/redacted")
+    path = f"{base}/redacted/scan_id={scan_id}"
+    copies.write.mode("overwrite").parquet(path)
+    kept = copies.sparkSession.read.schema(copies.schema).parquet(path)
     write(kept.select("doc_id", "source", F.col("redacted_name").alias("redacted_path")), base, "redactions", scan_id)
 
 
