@@ -22,6 +22,7 @@ def tokens(name: str, source: str, key: str, text: str, pattern: str) -> str:
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _EMAIL = "[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+[.])+[A-Za-z]{2,24}"
 _PHONE = "(?:[+][0-9]{1,3}[ .-]?)?(?:[(][0-9]{3}[)][ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
+_CARD = "[3-6][0-9]{15}|[3-6][0-9]{18}|3[47][0-9]{13}|4[0-9]{12}|3(?:0[0-5]|[68][0-9])[0-9]{11}"
 _D5 = "[" + ",".join(
     str(((a + b) if a < 5 else (a - b)) % 5 + (5 if (a >= 5) != (b >= 5) else 0)) for a in range(10) for b in range(10)
 ) + "]"
@@ -75,7 +76,7 @@ findings AS (
     UNION ALL SELECT doc_id, 'IP_ADDRESS', rtrim(value, '.'), start_at, 0.6 FROM dots
       WHERE regexp_full_match(rtrim(value, '.'), '(?:{_OCTET}[.]){{3}}{_OCTET}')
     UNION ALL SELECT doc_id, 'CREDIT_CARD', value, start_at, 1.0 FROM word
-      WHERE regexp_full_match(value, '[3-6][0-9]{{15}}|3[47][0-9]{{13}}') AND {luhn('value')}
+      WHERE regexp_full_match(value, '{_CARD}') AND {luhn('value')}
     UNION ALL SELECT doc_id, 'PHONE_NUMBER', value, start_at, 0.55 FROM tel
     UNION ALL SELECT doc_id, 'IN_PHONE', value, start_at, 0.55 FROM run
       WHERE regexp_full_match(value, '(?:[+]91|0091|0)?[6-9][0-9]{{9}}')
@@ -354,7 +355,7 @@ SELECT '{grain}' AS grain, strftime(period, '%Y-%m-%d') AS period, risk_level, c
 ORACLES["timeline_dense"] = _timeline(f"SELECT ts AS date, {_LEVEL} AS risk_level FROM events", "month", "month", "1 month")
 ORACLES["timeline_quarters"] = _timeline(
     "SELECT o_orderdate AS date, CASE o_orderstatus WHEN 'F' THEN 'High' WHEN 'O' THEN 'Low' ELSE 'Clean' END AS risk_level "
-    "FROM orders WHERE month(o_orderdate) <> 2 OR o_orderkey < 0", "quarter", "quarter", "3 months")
+    "FROM orders", "quarter", "quarter", "3 months")
 
 _TRUTH = """,
 truth AS (SELECT doc_id, CASE WHEN toxic = 1 THEN ['IP_ADDRESS', 'CREDIT_CARD'] WHEN quality = 0 THEN ['EMAIL_ADDRESS'] ELSE cast([] AS varchar[]) END AS planted,
@@ -422,15 +423,18 @@ FROM (SELECT o_orderkey, cast(floor(o_totalprice) AS bigint) * (1 + o_orderkey %
 ORACLES["ceilings"] = """
 SELECT c_custkey, greatest(20000000.0, cast(c_custkey * 1000000 AS double) * 4 / 100) AS gdpr_ceiling_eur,
        2500000000.0 AS dpdp_ceiling_inr FROM customer"""
-ORACLES["mail_dates"] = """
-SELECT o_orderkey, strftime(o_orderdate + INTERVAL 16 HOUR + INTERVAL 39 MINUTE + INTERVAL 5 SECOND + INTERVAL 7 HOUR, '%Y-%m-%d %H:%M:%S') AS date FROM orders"""
+_SHIFT = "CASE cast(o_orderkey % 5 AS int) WHEN 0 THEN 7 WHEN 1 THEN 5 WHEN 2 THEN 7 ELSE 0 END"
+ORACLES["mail_dates"] = f"""
+SELECT o_orderkey, strftime(o_orderdate + INTERVAL 16 HOUR + INTERVAL 39 MINUTE + to_seconds(CASE WHEN o_orderkey % 5 = 2 THEN 0 ELSE 5 END)
+  + to_hours({_SHIFT}), '%Y-%m-%d %H:%M:%S') AS date FROM orders"""
 ORACLES["mail_messages"] = """
 SELECT 'mail/' || cast(conv_id AS varchar) || '.' || cast(turn AS varchar) AS source_path, role || '@example.com' AS sender, 'a@example.com, b@example.com' AS recipients,
   '2001-05-14 23:39:00' AS date, 'Turn ' || cast(turn AS varchar) AS subject, 'Turn ' || cast(turn AS varchar) || chr(10) || chr(10) || text AS text FROM conversations"""
-ORACLES["volume_scores"] = f"""WITH findings AS (
+_LINES = """findings AS (
   SELECT l_orderkey AS doc_id, CASE cast(l_linenumber AS int) WHEN 1 THEN 'IN_AADHAAR' WHEN 2 THEN 'SALARY' WHEN 3 THEN 'PERSON'
     WHEN 4 THEN 'HEALTH_INFO' WHEN 5 THEN 'DATE_TIME' WHEN 6 THEN 'CUSTOM_TYPE' ELSE 'IN_PAN' END AS entity_type,
-    (500 + l_partkey % 500) / 1000.0 AS confidence, l_partkey * 1000 + l_suppkey AS start_at FROM lineitem),
+    (500 + l_partkey % 500) / 1000.0 AS confidence, l_partkey * 1000 + l_suppkey AS start_at, l_partkey FROM lineitem)"""
+ORACLES["volume_scores"] = f"""WITH {_LINES},
 {scored("findings", "SELECT o_orderkey AS doc_id FROM orders")}
 SELECT doc_id, risk_score, risk_level, toxic, array_to_string(list_sort(list_concat(kinds, CASE WHEN doc_id IN (SELECT doc_id FROM findings WHERE entity_type = 'DATE_TIME') THEN ['DATE_TIME'] ELSE cast([] AS varchar[]) END)), ';') AS entity_types FROM scored"""
 _IBAN_BBAN = "lpad(cast(s_suppkey * 104729 AS varchar), 18, '3')"
@@ -470,3 +474,46 @@ SELECT rank, doc_id, path AS source, lpad(cast(rank AS varchar), 2, '0') || '_do
        cast(fs[i].s - CASE WHEN i = 1 THEN 0 ELSE fs[i-1].e END AS bigint)) || fs[i].t), '')
   || substr(text, cast(fs[-1].e + 1 AS bigint)) AS content
 FROM top JOIN f USING (doc_id)"""
+
+_V6 = "[0-9A-Fa-f]{1,4}"
+ORACLES["ipv6_spans"] = f"""WITH t AS (SELECT c_custkey AS doc_id, {X.CUSTOMER_IPV6} AS text FROM customer),
+{tokens("w", "t", "doc_id", "text", "[0-9A-Za-z:.]*:[0-9A-Za-z:.]*")}
+SELECT doc_id, 'IP_ADDRESS' AS entity_type, cast(start_at AS bigint) AS start_at, cast(start_at + length(value) AS bigint) AS end_at,
+       cast(0.6 AS double) AS confidence, value FROM w
+WHERE regexp_full_match(value, '(?:{_V6}:){{7}}{_V6}')
+   OR (len(string_split(value, '::')) = 2 AND regexp_full_match(value, '(?:{_V6}(?::{_V6})*)?::(?:{_V6}(?::{_V6})*)?')
+       AND value <> '::' AND len(list_filter(string_split(value, ':'), lambda g: g <> '')) <= 7)"""
+ORACLES["intl_phone_spans"] = f"""WITH t AS (SELECT c_custkey AS doc_id, {X.CUSTOMER_DIALS} AS text FROM customer),
+v AS (SELECT doc_id, text, string_split(text, ' now')[1][6:] AS value FROM t)
+SELECT doc_id, 'PHONE_NUMBER' AS entity_type, cast(5 AS bigint) AS start_at, cast(5 + length(value) AS bigint) AS end_at,
+       cast(0.5 AS double) AS confidence, value FROM v WHERE regexp_full_match(value, '[+][1-9][0-9]{{0,2}}(?:[ .-]?[0-9]{{2,5}}){{2,4}}')"""
+ORACLES["card_lengths"] = f"""WITH t AS (SELECT c_custkey AS doc_id, {X.CUSTOMER_CARDS} AS text FROM customer),
+v AS (SELECT doc_id, string_split(text, ' ')[2] AS value FROM t)
+SELECT doc_id, 'CREDIT_CARD' AS entity_type, cast(4 AS bigint) AS start_at, cast(4 + length(value) AS bigint) AS end_at,
+       cast(1.0 AS double) AS confidence, value FROM v WHERE regexp_full_match(value, '{_CARD}') AND {luhn('value')}"""
+ORACLES["sure_spans"] = FINDINGS + """
+SELECT doc_id, entity_type, cast(start_at AS bigint) AS start_at, cast(confidence AS double) AS confidence, value FROM findings WHERE confidence >= 0.6"""
+ORACLES["blank_texts"] = f"""
+SELECT c_custkey AS doc_id, 'Clean' AS risk_level, cast(0 AS double) AS risk_score, cast(0 AS bigint) AS finding_count, '{fv.CLEAN_REASON}' AS reason FROM customer"""
+ORACLES["findings_joined"] = f"""WITH {_LINES}
+SELECT f.doc_id, o_orderpriority AS path, o_orderstatus AS risk_level, entity_type, count(*) AS findings, cast(max(confidence) AS double) AS max_confidence,
+       -- the exact mean rounded half up: an average of doubles falls on either side of a half
+       (2 * sum(500 + l_partkey % 500) + count(*)) // (2 * count(*)) / 1000.0 AS avg_confidence FROM findings f JOIN orders ON f.doc_id = o_orderkey GROUP BY ALL"""
+ORACLES["noisy_types"] = f"""WITH {_LINES},
+n AS (SELECT entity_type, count(*) AS findings, count(DISTINCT doc_id) AS documents, upper(substr({_MANY}, 1, 1)) || substr({_MANY}, 2) AS label FROM findings GROUP BY entity_type)
+SELECT *, true AS noisy FROM n UNION ALL SELECT *, false FROM n WHERE entity_type NOT IN {_in(fv.UNSCORED)}"""
+ORACLES["far_findings"] = """
+SELECT 'mail/' || cast(s_suppkey AS varchar) AS source_path, false AS truncated, cast(210011 AS bigint) AS start_at,
+       'ABCPK' || lpad(cast(s_suppkey AS varchar), 4, '0') || 'F' AS value FROM supplier"""
+ORACLES["csv_files"] = """
+WITH t AS (SELECT s_suppkey, array_to_string(list_transform(range(1, 6001), lambda i: 'Name: n' || cast(i AS varchar) || ' | Account No: '
+  || cast(s_suppkey * 10000 + i AS varchar)), chr(10)) AS text FROM supplier)
+SELECT '/in/' || cast(s_suppkey AS varchar) || '.CSV' AS source_path, 'csv' AS file_type, cast(length(text) AS bigint) AS char_count,
+       false AS truncated, md5(text) AS digest FROM t"""
+ORACLES["mail_files"] = """
+SELECT '/in/' || cast(conv_id AS varchar) || '.' || cast(turn AS varchar) || '.eml' AS source_path, role || '@example.com' AS sender,
+  CASE WHEN turn % 3 = 1 THEN '2024-03-01 10:00:00' ELSE '2023-03-14 05:00:00' END AS date,
+  '=?utf-8?q?Hi?=' || chr(10) || chr(10) || CASE WHEN turn % 3 = 1 THEN ' Turn ' || cast(turn AS varchar) || chr(10) || 'bye' ELSE text END AS text FROM conversations"""
+ORACLES["skipped_files"] = """
+SELECT '/in/' || cast(c_custkey AS varchar) || '.' || ['xlsx', 'docx', 'txt', 'jpg'][c_custkey % 4 + 1] AS path,
+  CASE WHEN c_custkey % 4 = 2 THEN c_name || chr(65533) || '!' END AS text, c_custkey % 4 <> 2 AS is_skipped FROM customer WHERE c_custkey % 4 <> 3"""

@@ -11,7 +11,7 @@ from veilscan.config import DEFAULT, Settings
 from veilscan.functions import checks, masking, text as T
 from veilscan.operators import detect as D, score as SC, spans as SP
 from veilscan.plans import compliance as CP, evaluate as EV, remediation as RM, reports as RP
-from veilscan.session import settle, spread_small
+from veilscan.session import spread_small
 from veilscan.sources import files, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,12 +72,12 @@ def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).drop("findings").join(dates, "doc_id", "left")
 
 
-def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored documents with digests, written once: for queries that read them several times."""
+def tallied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts that the summary reports are made of, in one pass over the documents."""
     docs = spread_small(table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("file_type")))
     raw = D.with_raw_findings(docs)
     keyed = D.with_digests(SP.stage(raw, "findings", D.masked(F.col("found"))))
-    return settle(SC.score_documents(keyed.drop("text", "found")))
+    return RP.tally(SC.score_documents(keyed.drop("text", "found")))
 
 
 def spans_of(docs: DataFrame, *entities: str) -> DataFrame:
@@ -112,6 +112,37 @@ def card_luhn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans_of(table(spark, sf_dir, "documents").select("doc_id", "text"), "CREDIT_CARD")
 
 
+@query
+def ipv6_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans_of(projected(spark, sf_dir, "customer", "c_custkey", X.CUSTOMER_IPV6), "IP_ADDRESS")
+
+
+@query
+def intl_phone_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans_of(projected(spark, sf_dir, "customer", "c_custkey", X.CUSTOMER_DIALS), "PHONE_NUMBER")
+
+
+@query
+def card_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans_of(projected(spark, sf_dir, "customer", "c_custkey", X.CUSTOMER_CARDS), "CREDIT_CARD")
+
+
+@query
+def sure_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread_small(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    raw = D.raw_findings(docs, DEFAULT.with_(min_score=0.6))
+    return raw.select("doc_id", "entity_type", big("start").alias("start_at"), dbl("score").alias("confidence"), "value")
+
+
+@query
+def blank_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    text = F.when(key % 3 == 0, F.lit(None)).when(key % 3 == 1, "").otherwise(" \n\t ")
+    docs = table(spark, sf_dir, "customer").select(key.alias("doc_id"), text.alias("text"))
+    return SC.score_documents(D.with_findings(docs)).select(
+        "doc_id", "risk_level", dbl("risk_score").alias("risk_score"), big("finding_count").alias("finding_count"), "reason")
+
+
 def _aadhaar_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.expr(X.aadhaar_body("l_orderkey * 10 + l_linenumber"))
     return table(spark, sf_dir, "lineitem").withColumn("body", body)
@@ -264,19 +295,39 @@ def risk_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def volume_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per_doc = D.collect_findings(line_findings(spark, sf_dir))
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"))
+    empty = F.array().cast(per_doc.schema["findings"].dataType)
+    both = docs.join(per_doc, "doc_id", "left").withColumn("findings", F.coalesce("findings", empty))
+    return SC.score_documents(both).select("doc_id", dbl("risk_score").alias("risk_score"), "risk_level", "toxic",
+                                           F.array_join("entity_types", ";").alias("entity_types"))
+
+
+def line_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored findings made of `lineitem`, an order being a document."""
     line = F.col("l_linenumber")
     kind = (F.when(line == 1, "IN_AADHAAR").when(line == 2, "SALARY").when(line == 3, "PERSON")
             .when(line == 4, "HEALTH_INFO").when(line == 5, "DATE_TIME").when(line == 6, "CUSTOM_TYPE").otherwise("IN_PAN"))
     start = (F.col("l_partkey") * 1000 + F.col("l_suppkey")).cast("int")
-    rows = table(spark, sf_dir, "lineitem").select(
+    return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("doc_id"), kind.alias("entity_type"), start.alias("start"), (start + 1).alias("end"),
         F.lit("X").alias("masked_value"), ((500 + F.col("l_partkey") % 500) / 1000).cast("decimal(4,3)").alias("confidence"))
-    per_doc = D.collect_findings(rows)
-    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"))
-    empty = F.array().cast(per_doc.schema["findings"].dataType)
-    both = docs.join(per_doc, "doc_id", "left").withColumn("findings", F.coalesce("findings", empty))
-    return SC.score_documents(both).select("doc_id", dbl("risk_score").alias("risk_score"), "risk_level", "toxic",
-                                           F.array_join("entity_types", ";").alias("entity_types"))
+
+
+@query
+def findings_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("path"), F.col("o_orderstatus").alias("risk_level"))
+    return RP.findings_summary(docs, line_findings(spark, sf_dir), ordered=False).select(
+        "doc_id", "path", "risk_level", "entity_type", "findings", dbl("max_confidence").alias("max_confidence"),
+        dbl("avg_confidence").alias("avg_confidence"))
+
+
+@query
+def noisy_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    types = RP.type_rows_of(line_findings(spark, sf_dir))
+    both = [RP.type_totals(RP.scored_only(types, include)).withColumn("noisy", F.lit(include)) for include in (False, True)]
+    return both[0].unionByName(both[1])
 
 
 # --- reports -----------------------------------------------------------------------------
@@ -287,7 +338,7 @@ def level_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def documents_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return RP.documents_export(dated(spark, sf_dir)).select(
+    return RP.documents_export(dated(spark, sf_dir), ordered=False).select(
         "doc_id", "path", "file_type", "sender", F.date_format("date", "yyyy-MM-dd").alias("date"),
         dbl("risk_score").alias("risk_score"), "risk_level", "reason", big("finding_count").alias("finding_count"),
         "toxic", F.array_join("entity_types", ";").alias("entity_types"))
@@ -295,15 +346,14 @@ def documents_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def findings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return RP.findings_summary(scored(spark, sf_dir)).select(
+    return RP.findings_summary(scored(spark, sf_dir), ordered=False).select(
         "doc_id", "path", "risk_level", "entity_type", big("findings").alias("findings"), dbl("max_confidence").alias("max_confidence"),
         dbl("avg_confidence").alias("avg_confidence"))
 
 
 @query
 def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = scanned(spark, sf_dir)
-    return RP.entity_counts(RP.type_rows(docs), RP.unique_identifiers(docs)).withColumn(
+    return RP.entity_counts_of(tallied(spark, sf_dir)).withColumn(
         "avg_confidence", dbl("avg_confidence"))
 
 
@@ -335,7 +385,7 @@ def top_senders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def explorer_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = RP.explorer(dated(spark, sf_dir), levels=("High", "Medium", "Low"),
-                       entities=("EMAIL_ADDRESS", "IP_ADDRESS"), file_types=("en", "fr"), query="ADDRESS")
+                       entities=("EMAIL_ADDRESS", "IP_ADDRESS"), file_types=("en", "fr"), query="ADDRESS", ordered=False)
     return view.select("doc_id", "risk_level", dbl("risk_score").alias("risk_score"), "file_name", "sender", "reason")
 
 
@@ -367,23 +417,20 @@ def timeline_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 def timeline_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.col("o_orderstatus")
     level = F.when(status == "F", "High").when(status == "O", "Low").otherwise("Clean")
-    docs = (table(spark, sf_dir, "orders").where(F.month("o_orderdate") != 2)
-            .select(F.col("o_orderdate").cast("timestamp").alias("date"), level.alias("risk_level")))
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("timestamp").alias("date"), level.alias("risk_level"))
     return RP.timeline(docs).withColumn("period", F.date_format("period", "yyyy-MM-dd"))
 
 
 # --- compliance and remediation ----------------------------------------------------------
 @query
 def exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = scanned(spark, sf_dir)
-    return CP.kpi_row(docs, RP.unique_identifiers(docs)).select(
+    return CP.kpi_of(tallied(spark, sf_dir)).select(
         "exposure_index", "exposure_band", "scale_component", "unique_individuals_estimate")
 
 
 @query
 def kpi_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = scanned(spark, sf_dir)
-    return CP.kpi_row(docs, RP.unique_identifiers(docs)).select(
+    return CP.kpi_of(tallied(spark, sf_dir)).select(
         "docs_scanned", "docs_high", "docs_medium", "docs_low", "docs_clean", "docs_with_pii", "docs_toxic",
         "unique_identifiers_total", "pii_share", "high_share", "dpdp_ceiling", "dpdp_ceiling_eur", "gdpr_ceiling", "turnover")
 
@@ -395,8 +442,7 @@ def compliance_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def narrative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = scanned(spark, sf_dir)
-    return CP.narrative(docs, RP.type_rows(docs), RP.unique_identifiers(docs))
+    return CP.narrative_of(tallied(spark, sf_dir))
 
 
 @query
@@ -508,7 +554,9 @@ def money_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def mail_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    written = F.concat(F.date_format("o_orderdate", "EEE, d MMM yyyy"), F.lit(" 16:39:05 -0700 (PDT)"))
+    written = F.expr(X.ORDER_MAIL_DATE)
+    for part, form in (("w", "EEE"), ("d", "d"), ("m", "MMM"), ("y", "yyyy"), ("s", "yy")):
+        written = F.replace(written, F.lit("{" + part + "}"), F.date_format("o_orderdate", form))
     return table(spark, sf_dir, "orders").select(
         "o_orderkey", F.date_format(T.mail_date(written), "yyyy-MM-dd HH:mm:ss").alias("date"))
 
@@ -524,3 +572,61 @@ def mail_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, _ = files.read_messages(rows)
     return docs.select("source_path", "sender", "recipients", F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"),
                        "subject", "text")
+
+
+@query
+def far_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An identifier behind the 200,000th character of a message."""
+    key = F.col("s_suppkey").cast("string")
+    message = F.concat(F.lit("Subject: Long\n\n"), F.expr(X.FAR), F.lit("PAN: ABCPK"), F.lpad(key, 4, "0"), F.lit("F"))
+    rows = spread_small(table(spark, sf_dir, "supplier").select(key.alias("file"), message.alias("message")))
+    docs, _ = files.read_messages(rows)
+    raw = D.with_raw_findings(docs.select("source_path", "text", "truncated"), only("IN_PAN"))
+    return raw.select("source_path", "truncated", F.inline("found")).select(
+        "source_path", "truncated", big("start").alias("start_at"), "value")
+
+
+def as_files(rows: DataFrame, path: Column, content: Column) -> DataFrame:
+    """Rows as the file source gives them."""
+    return spread_small(rows.select(path.alias("path"), content.cast("binary").alias("content"),
+                                    F.lit("2024-03-01 10:00:00").cast("timestamp").alias("modificationTime")))
+
+
+@query
+def csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of 6,001 lines, all of which are read."""
+    key = F.col("s_suppkey")
+    line = lambda i: F.concat(F.lit("n"), i.cast("string"), F.lit(","), (key * 10000 + i).cast("string"))
+    content = F.concat(F.lit("Name,Account No\n"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(6000)), line), "\n"))
+    rows = as_files(table(spark, sf_dir, "supplier"), F.concat(F.lit("/in/"), key.cast("string"), F.lit(".CSV")), content)
+    docs, _ = files.split(files.parsed_files(rows))
+    return docs.select("source_path", "file_type", big("char_count").alias("char_count"), "truncated", F.md5("text").alias("digest"))
+
+
+@query
+def mail_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mail of several parts: text beside HTML, HTML alone, an attachment; without a date the file's counts."""
+    kind, turn = F.col("turn") % 3, F.col("turn").cast("string")
+    plain = F.concat(F.lit("--B\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: base64\n\n"),
+                     F.base64(F.col("text").cast("binary")), F.lit("\n"))
+    html = F.concat(F.lit("--B\nContent-Type: text/html; charset=utf-8\n\n<style>p {}</style><p>Turn "), turn, F.lit("</p>bye\n"))
+    attached = F.lit("--B\nContent-Type: text/plain\nContent-Disposition: attachment; filename=a.txt\n\nsecret\n")
+    parts = F.when(kind == 0, F.concat(plain, html)).when(kind == 1, html).otherwise(F.concat(attached, plain))
+    date = F.when(kind == 1, "").otherwise("Date: Tue, 14 Mar 2023 10:30:00 +0530\n")
+    message = F.concat(F.lit("From: "), F.col("role"), F.lit("@example.com\n"), date,
+                       F.lit("Subject: =?utf-8?q?Hi?=\nContent-Type: multipart/mixed; boundary=B\n\n"), parts, F.lit("--B--\n"))
+    name = F.concat(F.lit("/in/"), F.col("conv_id").cast("string"), F.lit("."), turn, F.lit(".eml"))
+    docs, _ = files.split(files.parsed_files(as_files(table(spark, sf_dir, "conversations"), name, message)))
+    return docs.select("source_path", "sender", F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"), "text")
+
+
+@query
+def skipped_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken files are skipped with an error, files of other kinds are not looked at, bad bytes are replaced."""
+    key = F.col("c_custkey")
+    kinds = F.array(*map(F.lit, ("xlsx", "docx", "txt", "jpg")))
+    name = F.concat(F.lit("/in/"), key.cast("string"), F.lit("."), F.get(kinds, (key % 4).cast("int")))
+    content = F.concat(F.col("c_name").cast("binary"), F.lit(b"\xff!"))
+    docs, skipped = files.split(files.parsed_files(as_files(table(spark, sf_dir, "customer"), name, content)))
+    return docs.select(F.col("source_path").alias("path"), "text", F.lit(False).alias("is_skipped")).unionByName(
+        skipped.where(F.col("error") != "").select("path", F.lit(None).cast("string").alias("text"), F.lit(True).alias("is_skipped")))
