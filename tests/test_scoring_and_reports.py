@@ -209,3 +209,29 @@ def test_text_functions(spark):
     assert {k: one(F.date_format(T.mail_date(F.lit(k)), "yyyy-MM-dd HH:mm:ss")) for k in dates} == dates
     cut = T.truncate(F.lit("abc😀e"), 4)
     assert [one(cut[k]) for k in ("text", "char_count", "truncated")] == ["abc😀", 4, True]
+
+
+def test_tally_gives_what_the_separate_reports_give(docs):
+    ids = F.array(F.struct(F.lit("EMAIL_ADDRESS").alias("id_group"), F.concat(F.lit("d"), (F.col("doc_id") % 4).cast("string")).alias("digest")))
+    both = docs.withColumn("digests", ids)
+    counted, unique = RP.tally(both), RP.unique_identifiers(both)
+    assert ({tuple(r) for r in RP.entity_counts_of(counted).collect()}
+            == {tuple(r) for r in RP.entity_counts(RP.type_rows(both), unique).select("entity_type", "findings", "documents", "avg_confidence", "unique_values").collect()})
+    want = CP.kpi_row(both, unique)
+    assert CP.kpi_of(counted).select(want.columns).collect() == want.collect()
+    assert CP.narrative_of(counted).collect() == CP.narrative(both, RP.type_rows(both), unique).collect()
+    none = RP.tally(both.limit(0))
+    assert RP.entity_counts_of(none).count() == 0 and CP.kpi_of(none).first().docs_scanned == 0
+    assert CP.narrative_of(none).first().summary == "The selected scan contains no documents."
+
+
+def test_unclosed_blocks_are_looked_through_once(spark):
+    pages = ["a<script>x</script><SCRIPT>y</script>b<script>c", "<script " * 50_000, "<style>p{}</style>z<style>", "plain"]
+    rows = spark.createDataFrame([(p,) for p in pages], "h string").select(T.strip_html(F.col("h")).alias("t")).collect()
+    assert [r.t for r in rows] == ["a b c", "<script " * 50_000, " z ", "plain"]
+
+
+def test_mail_dates_with_zones_and_short_years(spark):
+    written = ["14 May 01 16:39 PDT", "Mon, 14 May 2001 16:39:00 EST", "14 May 99 16:39:00 +0530 (IST)", "14 May 2001 16:39:00", "14 May 2001 16:39:00 Zulu", "soon"]
+    rows = spark.createDataFrame([(w,) for w in written], "w string").select(T.mail_date(F.col("w")).cast("string").alias("d")).collect()
+    assert [r.d for r in rows] == ["2001-05-14 23:39:00", "2001-05-14 21:39:00", "1999-05-14 11:09:00", "2001-05-14 16:39:00", "2001-05-14 16:39:00", None]

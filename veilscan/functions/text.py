@@ -9,6 +9,12 @@ MAIL_ZONES = {"AST": "-0400", "ADT": "-0300", "EST": "-0500", "EDT": "-0400", "C
               "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
 
 
+def _blanked(text: Column, pattern: str, start: str) -> Column:
+    """Matches become blanks, but for a match that is the pattern's group, which begins with ``start`` and stays."""
+    marked = F.regexp_replace(text, pattern, "\u0002$1")
+    return F.regexp_replace(F.regexp_replace(marked, rf"\u0002(?={start})", ""), "\u0002", " ")
+
+
 def strip_html(html: Column) -> Column:
     """Readable text of a simple page: blocks and scripts out, breaks to newlines, tags to spaces.
 
@@ -16,11 +22,10 @@ def strip_html(html: Column) -> Column:
     them are looked through once; script blocks go before style blocks."""
     text = html
     for name in ("script", "style"):
-        text = F.regexp_replace(text, rf"(?is)<{name}.*?</{name}>|(<{name}.*)", "\u0002$1")
-        text = F.regexp_replace(F.regexp_replace(text, rf"(?i)\u0002(?=<{name})", ""), "\u0002", " ")
+        text = _blanked(text, rf"(?is)<{name}.*?</{name}>|(<{name}.*)", rf"(?i)<{name}")
     # fixed values: the patterns here and above
     text = F.regexp_replace(text, r"(?i)<br\s*/?>|</p>|</div>|</tr>", "\n")
-    text = F.regexp_replace(text, r"<[^>]+>", " ")
+    text = _blanked(text, r"<[^>]+>|(<[^>]+)", "<")
     return F.regexp_replace(text, r"[ \t]+", " ")
 
 
