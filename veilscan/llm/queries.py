@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscan.llm import bpe, counts, mixing, ngram_join, quality, sharding, token_files, topk, toxicity, url_filter
+from veilscan.llm import (
+    bpe, counts, divergence, importance, mixing, ngram_join, quality, sharding, simhash, token_files, topk, toxicity, url_filter)
 from veilscan.llm.common import table
 
 
@@ -52,6 +53,18 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.linked(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_top_k_search, op2_ngram_jaccard_join, op3_quality_rules, op4_sharding, op5_bpe_round_trip, op6_token_counts, op7_toxicity,
-    op8_mix_sources, op9_token_files, op10_url_filters)}
+    op8_mix_sources, op9_token_files, op10_url_filters, op11_simhash, op12_source_divergence, op13_importance_resampling)}
