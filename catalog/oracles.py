@@ -517,3 +517,22 @@ SELECT '/in/' || cast(conv_id AS varchar) || '.' || cast(turn AS varchar) || '.e
 ORACLES["skipped_files"] = """
 SELECT '/in/' || cast(c_custkey AS varchar) || '.' || ['xlsx', 'docx', 'txt', 'jpg'][c_custkey % 4 + 1] AS path,
   CASE WHEN c_custkey % 4 = 2 THEN c_name || chr(65533) || '!' END AS text, c_custkey % 4 <> 2 AS is_skipped FROM customer WHERE c_custkey % 4 <> 3"""
+ORACLES["mail_corpus"] = """
+SELECT cast(conv_id AS varchar) || '.' || cast(turn AS varchar) AS file,
+  'From: "Desk, ' || role || '"' || chr(10) || 'Subject: ""' || chr(10) || chr(10) || text || chr(10) || '"",' || chr(10) || '"' AS message FROM conversations"""
+ORACLES["long_text_spans"] = f"""{FINDINGS}
+SELECT doc_id, entity_type, start_at, start_at + length(value) AS end_at, cast(confidence AS double) AS confidence, value
+FROM findings WHERE entity_type IN ('EMAIL_ADDRESS', 'IP_ADDRESS')"""
+ORACLES["stored_span_resolution"] = """
+WITH s AS (
+  SELECT doc_id % 3 AS text_no, doc_id * 16 + n_chars % 31 AS start_at, doc_id * 16 + n_chars % 31 + 2 + n_chars % 97 AS end_at,
+         ['BANK_ACCOUNT', 'EMAIL_ADDRESS', 'IN_PAN', 'IBAN_CODE'][n_chars % 4 + 1] AS entity_type, 500 + n_chars % 500 AS score,
+         CASE WHEN n_chars % 4 IN (0, 2) THEN 0 ELSE 1 END AS own, cast(doc_id AS varchar) AS value FROM documents),
+h AS (SELECT *, CASE WHEN start_at >= coalesce(max(end_at) OVER (PARTITION BY text_no ORDER BY start_at, end_at, value
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), start_at) THEN start_at END AS head FROM s),
+i AS (SELECT *, max(head) OVER (PARTITION BY text_no ORDER BY start_at, end_at, value) AS island FROM h),
+l AS (SELECT text_no, island, list({'k': -score, 'o': own, 'l': start_at - end_at, 's': start_at, 't': entity_type, 'e': end_at, 'v': value}
+                                  ORDER BY -score, own, start_at - end_at, start_at, entity_type, end_at, value) AS ranked FROM i GROUP BY text_no, island),
+g AS (SELECT text_no, unnest(list_reduce(list_transform(ranked, lambda x: [x]), lambda kept, x:
+        CASE WHEN len(list_filter(kept, lambda k: k.s < x[1].e AND x[1].s < k.e)) > 0 THEN kept ELSE list_concat(kept, x) END)) AS x FROM l)
+SELECT text_no, x.s AS start_at, x.e AS end_at, x.t AS entity_type, cast(-x.k / 1000.0 AS double) AS confidence, x.v AS value FROM g"""

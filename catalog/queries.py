@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -9,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from catalog import texts as X
 from veilscan.config import DEFAULT, Settings
 from veilscan.functions import checks, masking, text as T
-from veilscan.operators import detect as D, score as SC, spans as SP
+from veilscan.operators import chunks, detect as D, islands, score as SC, spans as SP
 from veilscan.plans import compliance as CP, evaluate as EV, remediation as RM, reports as RP
-from veilscan.session import spread_small
+from veilscan.session import shared_dir, spread_small
 from veilscan.sources import files, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +92,11 @@ def projected(spark: SparkSession, sf_dir: str, name: str, key: str, text: str)
     return table(spark, sf_dir, name).select(F.expr(key).alias("doc_id"), F.expr(text).alias("text"))
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the one that all executors share."""
+    return f"{shared_dir(spark)}/catalog/{name}-{uuid.uuid4().hex}"
+
+
 # --- detection ---------------------------------------------------------------------------
 @query
 def email_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -630,3 +636,33 @@ def skipped_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, skipped = files.split(files.parsed_files(as_files(table(spark, sf_dir, "customer"), name, content)))
     return docs.select(F.col("source_path").alias("path"), "text", F.lit(False).alias("is_skipped")).unionByName(
         skipped.where(F.col("error") != "").select("path", F.lit(None).cast("string").alias("text"), F.lit(True).alias("is_skipped")))
+
+
+@query
+def mail_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with line ends, quotes and commas, written as CSV and read back in byte ranges."""
+    path = new_folder(spark, "mail")
+    message = F.concat(F.lit('From: "Desk, '), F.col("role"), F.lit('"\nSubject: ""\n\n'), F.col("text"), F.lit('\n"",\n"'))
+    rows = table(spark, sf_dir, "conversations").select(F.concat_ws(".", "conv_id", "turn").alias("file"), message.alias("message"))
+    rows.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    return files.raw_messages(spark, path)
+
+
+@query
+def long_text_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses in documents, those of more than 4,096 characters chunk by chunk."""
+    raw = chunks.raw_findings(table(spark, sf_dir, "documents").select("doc_id", "text"), only("EMAIL_ADDRESS", "IP_ADDRESS"), size=2048)
+    return raw.select("doc_id", "entity_type", big("start").alias("start_at"), big("end").alias("end_at"), dbl("score").alias("confidence"), "value")
+
+
+@query
+def stored_span_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps among spans that are rows, of three texts with a third of all spans each."""
+    n, start = F.col("n_chars"), (F.col("doc_id") * 16 + F.col("n_chars") % 31).cast("int")
+    kinds = F.array(*map(F.lit, ("BANK_ACCOUNT", "EMAIL_ADDRESS", "IN_PAN", "IBAN_CODE")))
+    spans = table(spark, sf_dir, "documents").select(
+        (F.col("doc_id") % 3).alias("text_no"), start.alias("start"), (start + 2 + n % 97).cast("int").alias("end"),
+        F.get(kinds, (n % 4).cast("int")).alias("entity_type"), ((500 + n % 500) / 1000).cast(SP.SCORE).alias("score"),
+        F.lit(False).alias("weak_card"), F.col("doc_id").cast("string").alias("value"))
+    kept = islands.resolve_rows(spans, "text_no")
+    return kept.select("text_no", big("start").alias("start_at"), big("end").alias("end_at"), "entity_type", dbl("score").alias("confidence"), "value")

@@ -20,11 +20,12 @@ def with_raw_findings(docs: DataFrame, settings: Settings = DEFAULT, text_col: s
     spotted = SP.with_spans(docs, settings, text_col, rules)
     if extra_spans is not None:
         spotted = spotted.withColumn("spans", F.concat("spans", extra_spans))
-    return spotted.select(*docs.columns, F.explode(F.array(_resolved("spans"))).alias("found"))
+    return spotted.select(*docs.columns, F.explode(F.array(resolved_spans("spans"))).alias("found"))
 
 
 @SP.built_once
-def _resolved(column: str) -> Column:
+def resolved_spans(column: str) -> Column:
+    """Findings from the candidate spans of a column."""
     return RS.resolve(F.col(column))
 
 

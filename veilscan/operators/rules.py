@@ -233,3 +233,22 @@ RULES: tuple[Rule, ...] = (
          rf"|{_MONTH} (?:0?[1-9]|[12][0-9]|3[01])(?:st|nd|rd|th)?,? (?:19|20)[0-9]{{2}}){_CLOSE}", 0.6,
          gate="year"),
 )
+
+
+def _junctions() -> str:
+    """The letters on either side of a blank inside a match that has lower-case letters there: terms of several words, day and month."""
+    sides = {(a[-1], b[0]) for term in fv.HEALTH_TERMS for a, b in zip(term.split(" "), term.split(" ")[1:], strict=False)}
+    sides |= {(day[-1], month[0]) for day in ("st", "nd", "rd", "th") for month in _MONTH_INITIALS}
+    by_left: dict[str, str] = {}
+    for left, right in sorted(sides):
+        by_left[left] = by_left.get(left, "") + right
+    return "".join(f"(?!(?<={left}[ \\n])[{right}])" for left, right in by_left.items())
+
+
+_MONTH_INITIALS = "jfmasond"
+
+#: A place between a blank or line end and a lower-case letter over which no match of a rule reaches: whatever a rule has on both sides of white
+#: space, it needs a capital, a digit or a sign there, or one of the letters of ``_junctions``.
+BARRIER = r"(?<=[a-z][ \n])(?=[a-z])" + _junctions()
+#: Characters beside a barrier that a match next to it, its borders and its context windows look at, at most.
+LOOK = 128

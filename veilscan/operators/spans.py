@@ -81,6 +81,12 @@ def _block_starts(lengths: Column) -> Column:
     return let(_block_sums(lengths), lambda s: let(_block_sums(s), lambda t: within(s, t)))
 
 
+def starts(lengths: Column) -> Column:
+    """Summed length in front of every piece."""
+    return let(_block_starts(lengths), lambda blocks: F.transform(lengths, lambda _, i: F.element_at(
+        blocks, F.floor(i / _BLOCK).cast("int") + 1) + _total(F.slice(lengths, F.floor(i / _BLOCK).cast("int") * _BLOCK + 1, i % _BLOCK))))
+
+
 def _spans(parts: Column, windowed: Column) -> Column:
     """Array of (start, end, value, before, after) for the odd pieces of ``parts``."""
 

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veilscan.config import DEFAULT, Settings
 from veilscan.functions import text as T
-from veilscan.sources import parsers as P
+from veilscan.session import spread_small
+from veilscan.sources import csv_ranges, parsers as P
 from veilscan.sources.tables import rows_to_text
 
 DOCUMENT_COLUMNS = ("doc_id", "source_path", "file_type", "sender", "recipients", "date", "subject",
@@ -180,9 +181,9 @@ def read_mail_corpus(spark: SparkSession, path: str, limit: int | None = None, s
 
 
 def raw_messages(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """The messages of a mail corpus, not parsed yet."""
+    """The messages of a mail corpus, not parsed yet. Many tasks read one file."""
     try:
-        raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
+        raw = csv_ranges.read(spark, path)
     except AnalysisException as exc:
         if "PATH_NOT_FOUND" in str(exc.getCondition()):
             raise FileNotFoundError(f"Mail corpus not found: {path}") from exc
@@ -190,10 +191,7 @@ def raw_messages(spark: SparkSession, path: str, limit: int | None = None) -> Da
     if not {"file", "message"} <= set(raw.columns):
         raise ValueError(f"{path} needs the columns 'file' and 'message', it has {raw.columns}")
     rows = raw.select("file", "message")
-    if limit is not None:
-        rows = rows.orderBy("file", "message").limit(limit)
-    # a CSV with line ends in its fields is read by one task; parsing and detection run on all cores
-    return rows.repartition(spark.sparkContext.defaultParallelism)
+    return spread_small(rows if limit is None else rows.orderBy("file", "message").limit(limit))
 
 
 def read_messages(rows: DataFrame, settings: Settings = DEFAULT,
