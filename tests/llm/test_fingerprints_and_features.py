@@ -148,6 +148,7 @@ def sourced_rows():
 def test_divergence_equals_brute_force(spark, monkeypatch, vocabulary, at_once):
     monkeypatch.setattr(divergence, "VOCABULARY", vocabulary)
     monkeypatch.setattr(divergence, "AT_ONCE", at_once)
+    monkeypatch.setattr(divergence, "HELD", at_once)
     rows = sourced_rows()
     got = divergence.audited(spark.createDataFrame(rows, "text string, lang string, source string").repartition(4))
     assert got.columns == ["lang", "source", "part", "item", "value", "rank"]

@@ -19,6 +19,7 @@ differ by from the first. The last one is summed in the tasks, term by term, so
 from __future__ import annotations
 
 from functools import reduce
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -33,18 +34,22 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_DOCS = 3
 MAX_VOCABULARY = (1 << 31) - 1
 #: Distinct terms that are fitted together, about.
-VOCABULARY = 1 << 19
+VOCABULARY = 1 << 21
 SCALE = 1000
 SCALES = 3
 TOP = 200
 #: A term that each fit gets in addition, in MIN_DOCS documents: a vocabulary must not be empty. No text has it.
 GUARD = "\x00"
+#: Groups up to which their table is broadcast; more are joined by shuffles.
+SMALL = 1 << 16
+#: Entries of vectors that a task holds before it sums them.
+HELD = 1 << 21
 #: Pairs of sources that are worked out in one step.
 AT_ONCE = 1 << 20
 
 
 def terms(text: Column) -> Column:
-    return F.filter(F.split(F.translate(text, UPPER, LOWER), TERM_GAP), lambda t: t != "")
+    return F.array_remove(F.split(F.translate(text, UPPER, LOWER), TERM_GAP), "")
 
 
 def probability(count: Column, whole: Column) -> Column:
@@ -82,19 +87,65 @@ def _counted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return counts, spark.createDataFrame(kept, "lang string, v long")
 
 
+def _dealt(parts: int):
+    """Of each document its terms of each hash class."""
+
+    def deal(batches):
+        for batch in batches:
+            for source, of in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                by_part: dict[int, list[str]] = {}
+                for term in of:
+                    by_part.setdefault(crc32(term.encode()) % parts, []).append(term)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([source] * len(by_part), pa.string()), pa.array(list(by_part.values()), pa.list_(pa.string())), pa.array(list(by_part), pa.int32())],
+                    ["source", "terms", "part"])
+
+    return deal
+
+
 def _parts(docs: DataFrame, parts: int) -> list[DataFrame]:
     """The documents; if more parts than one, with the terms of each hash class, written once dealt by class."""
     if parts <= 1:
         return [docs]
-    path = new_path(docs.sparkSession, "parts")
-    classed = F.transform("terms", lambda t: F.struct(F.pmod(F.xxhash64(t), F.lit(parts)).cast("int").alias("part"), t.alias("term")))
-    each = F.explode(F.transform(F.array_distinct(classed.getField("part")), lambda p: F.struct(
-        p.alias("part"), F.transform(F.filter(classed, lambda x: x["part"] == p), lambda x: x["term"]).alias("terms"))))
-    docs.select("source", each.alias("x")).select("source", "x.part", "x.terms").write.partitionBy("part").parquet(path)
-    every = docs.sparkSession.read.schema("source string, terms array<string>, part int").parquet(path)
+    path, schema = new_path(docs.sparkSession, "parts"), "source string, terms array<string>, part int"
+    docs.select("source", "terms").mapInArrow(_dealt(parts), schema).write.partitionBy("part").parquet(path)
+    every = docs.sparkSession.read.schema(schema).parquet(path)
     return [every.where(F.col("part") == k).drop("part") for k in range(parts)]
 
 
+def _summed(batches):
+    """Of rows (source, indices, values) the sum of each source's vectors, as entries; more than one for an entry if there are many."""
+    sources: dict[str, int] = {}
+    keys, counts, held = [], [], 0
+
+    def joined():
+        every, n = np.concatenate(keys), np.concatenate(counts)
+        order = np.argsort(every, kind="stable")
+        every, n = every[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+        return every[first], np.add.reduceat(n, first)
+
+    def entries():
+        key, n = joined()
+        source = pa.DictionaryArray.from_arrays(pa.array(key >> 32, pa.int32()), pa.array(list(sources), pa.string())).cast(pa.string())
+        return pa.RecordBatch.from_arrays([source, pa.array((key & 0xFFFFFFFF).astype(np.int32)), pa.array(n)], ["source", "index", "count"])
+
+    for batch in batches:
+        own = np.array([sources.setdefault(s, len(sources)) for s in batch.column(0).to_pylist()], np.int64)
+        of = batch.column(1)
+        keys.append(np.repeat(own, of.value_lengths().to_numpy()) << 32 | of.flatten().to_numpy())
+        counts.append(batch.column(2).flatten().to_numpy().astype(np.int64))
+        held += len(keys[-1])
+        if held > HELD:
+            key, n = joined()
+            keys, counts, held = [key], [n], len(key)
+            if held > HELD // 2:
+                yield entries()
+                sources, keys, counts, held = {}, [], [], 0
+    if held:
+        yield entries()
+
+
 def _fitted(docs: DataFrame) -> tuple[DataFrame, int]:
     """source, term, count over the sparse vectors of CountVectorizer, and how many terms it keeps."""
     spark = docs.sparkSession
@@ -103,8 +154,9 @@ def _fitted(docs: DataFrame) -> tuple[DataFrame, int]:
     kept = model.vocabulary
     words = spark.createDataFrame(pa.table({"index": pa.array(range(len(kept)), pa.int32()), "term": pa.array(kept, pa.string())}))
     vector = F.unwrap_udt(F.col("vector"))
-    entry = F.explode(F.arrays_zip(vector["indices"].alias("index"), vector["values"].alias("n"))).alias("x")
-    sums = model.transform(docs).select("source", entry).groupBy("source", F.col("x.index").alias("index")).agg(F.sum(F.col("x.n").cast("long")).alias("count"))
+    vectors = model.transform(docs).select("source", vector["indices"].alias("indices"), vector["values"].alias("values"))
+    parts = vectors.mapInArrow(_summed, "source string, index int, count long")
+    sums = parts.groupBy("source", "index").agg(F.sum("count").alias("count"))
     return settle(sums.join(words, "index").select("source", "term", "count"), "sums"), len(kept) - 1
 
 
@@ -149,6 +201,8 @@ def _of_both(batches):
 def _pairs(groups: DataFrame, entries: DataFrame) -> DataFrame:
     """a, b, value: divergence of group a from group b of its language."""
     other = groups.select("lang", F.col("id").alias("b"), F.col("p0").alias("q0"))
+    if groups.count() <= SMALL:
+        other = F.broadcast(other)  # languages are few and of uneven size: a shuffle by language would be a few large tasks
     two = groups.withColumnRenamed("id", "a").join(other, "lang").where("a <> b")
     neither = two.select("a", "b", (F.col("v") * distance(F.col("p0"), F.col("q0"))).alias("value"))
     equal = entries.groupBy("lang", F.col("id").alias("a"), "p", "p0").agg(F.count("*").alias("n")).join(other, "lang").where("a <> b")
