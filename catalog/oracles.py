@@ -536,3 +536,30 @@ l AS (SELECT text_no, island, list({'k': -score, 'o': own, 'l': start_at - end_a
 g AS (SELECT text_no, unnest(list_reduce(list_transform(ranked, lambda x: [x]), lambda kept, x:
         CASE WHEN len(list_filter(kept, lambda k: k.s < x[1].e AND x[1].s < k.e)) > 0 THEN kept ELSE list_concat(kept, x) END)) AS x FROM l)
 SELECT text_no, x.s AS start_at, x.e AS end_at, x.t AS entity_type, cast(-x.k / 1000.0 AS double) AS confidence, x.v AS value FROM g"""
+_STORED = """WITH f AS (SELECT 'DOC-' || cast(doc_id AS varchar) AS doc_id, upper(lang) AS entity_type, cast((500 + n_chars % 500) / 1000.0 AS double) AS confidence,
+  'XX' || cast(n_chars % 100 AS varchar) AS masked_value, cast(n_chars % 1000 AS bigint) AS start_at, cast(1000 + doc_id % 3 AS bigint) AS scan_id FROM documents)"""
+ORACLES["stored_scans"] = f"""{_STORED}
+SELECT scan_id, doc_id, entity_type, confidence, CASE WHEN scan_id = 1001 THEN 'again' ELSE masked_value END AS masked_value, start_at
+FROM f WHERE scan_id = 1000 OR scan_id = 1001 AND start_at % 2 = 0"""
+ORACLES["scan_registry"] = f"""{_STORED}
+SELECT kind, scan_id, count(*) AS n FROM f, (VALUES ('listed'), ('seen'), ('kept')) k(kind) WHERE scan_id <> 1001 GROUP BY kind, scan_id
+UNION ALL SELECT 'unfinished', 1001, 1 UNION ALL SELECT 'swept', NULL, 1"""
+ORACLES["scan_settings"] = f"""{_STORED}
+SELECT 10 + start_at % 40 AS scan_id, 'folder' AS source, cast((10 + start_at % 40) % 4 / 10.0 AS double) AS min_score, count(*) AS docs_scanned, count(*) % 7 AS high
+FROM f WHERE (10 + start_at % 40) % 4 >= 2 GROUP BY start_at % 40"""
+ORACLES["document_lookup"] = f"""{_STORED}
+SELECT cast(7 AS bigint) AS scan_id, doc_id, entity_type, confidence, masked_value, start_at FROM f WHERE doc_id IN ('DOC-1', 'DOC-55', 'DOC-199', 'DOC-123456789')"""
+ORACLES["unique_across_scans"] = """
+SELECT upper(lang) AS id_group, count(DISTINCT n_chars * 7 + doc_id % 5) AS unique_values, true AS close FROM documents GROUP BY upper(lang)"""
+ORACLES["ordered_export"] = """
+SELECT cast(conv_id AS varchar) || '.' || cast(turn AS varchar) AS path, text || ' said "' || role || '",' || chr(10) || 'and more' AS reason,
+  cast(conv_id % 1000 / 10.0 AS double) AS risk_score, cast(turn AS bigint) AS turn FROM conversations"""
+ORACLES["nested_folders"] = """
+SELECT cast(conv_id % 3 AS int) AS a, cast(conv_id // 300 AS int) AS b, 'txt' AS file_type,
+  string_agg(translate(role || ': ' || text, chr(13) || chr(10), '  '), chr(10) ORDER BY conv_id, turn) AS text FROM conversations GROUP BY conv_id % 3, conv_id // 300"""
+ORACLES["masked_subjects"] = """
+WITH c AS (SELECT conv_id % 3 AS kind, cast(conv_id AS varchar) || '.' || cast(turn AS varchar) AS doc_id, 't' || cast(turn AS varchar) || '.x@mail.org' AS mail,
+  't' || repeat('*', length(cast(turn AS varchar)) + 2) || '@mail.org' AS hidden FROM conversations)
+SELECT doc_id, CASE kind WHEN 0 THEN 'Re ' || hidden || ' and more' WHEN 1 THEN 'Write to ' || hidden ELSE 'Nothing' END AS subject,
+  CASE kind WHEN 1 THEN 'Write to [[EMAIL_ADDRESS|' || hidden || ']] today' ELSE 'Body for [[EMAIL_ADDRESS|' || hidden || ']]' END AS masked_snippet,
+  cast(1 AS bigint) AS finding_count FROM c"""

@@ -11,9 +11,9 @@ from catalog import texts as X
 from veilscan.config import DEFAULT, Settings
 from veilscan.functions import checks, masking, text as T
 from veilscan.operators import chunks, detect as D, islands, score as SC, spans as SP
-from veilscan.plans import compliance as CP, evaluate as EV, remediation as RM, reports as RP
+from veilscan.plans import compliance as CP, evaluate as EV, remediation as RM, reports as RP, scan as SN
 from veilscan.session import shared_dir, spread_small
-from veilscan.sources import files, tables
+from veilscan.sources import files, store, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -666,3 +666,129 @@ def stored_span_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(False).alias("weak_card"), F.col("doc_id").cast("string").alias("value"))
     kept = islands.resolve_rows(spans, "text_no")
     return kept.select("text_no", big("start").alias("start_at"), big("end").alias("end_at"), "entity_type", dbl("score").alias("confidence"), "value")
+
+
+# --- stored scans ------------------------------------------------------------------------
+def finding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A finding for each document, in three scans."""
+    n = F.col("n_chars")
+    return table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("DOC-"), F.col("doc_id").cast("string")).alias("doc_id"), F.upper("lang").alias("entity_type"),
+        ((500 + n % 500) / 1000).cast(SP.SCORE).alias("confidence"), F.concat(F.lit("XX"), (n % 100).cast("string")).alias("masked_value"),
+        (n % 1000).cast("int").alias("start"), (n % 1000 + 5).cast("int").alias("end"), (1000 + F.col("doc_id") % 3).cast("bigint").alias("scan_id"))
+
+
+def scan_rows(found: DataFrame, settings: Column | None = None) -> DataFrame:
+    """Commit records for the scans of some findings."""
+    at = F.lit("2024-03-01 10:00:00").cast("timestamp")
+    return found.groupBy("scan_id").agg(F.count("*").alias("docs_scanned")).select(
+        at.alias("started_at"), at.alias("finished_at"), F.concat(F.lit("scan "), F.col("scan_id").cast("string")).alias("source"), "docs_scanned",
+        F.lit(0).cast("bigint").alias("docs_skipped"), (F.lit("{}") if settings is None else settings).alias("settings_json"),
+        F.to_json(F.struct("docs_scanned", F.create_map(F.lit("High"), F.col("docs_scanned") % 7).alias("level_counts"))).alias("stats_json"), "scan_id")
+
+
+def plain_findings(found: DataFrame) -> DataFrame:
+    return found.select("scan_id", "doc_id", "entity_type", dbl("confidence").alias("confidence"), "masked_value", big("start").alias("start_at"))
+
+
+@query
+def stored_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three scans are written, one is written again with other rows, two are loaded."""
+    base, rows = new_folder(spark, "scans"), finding_rows(spark, sf_dir)
+    store.write_scans(rows, base, "findings")
+    store.write_scans(rows.where("scan_id = 1001 and start % 2 = 0").withColumn("masked_value", F.lit("again")), base, "findings")
+    store.write_scans(scan_rows(rows), base, "scans")
+    loaded = [store.load_scan(spark, base, i)["findings"] for i in (1000, 1001)]
+    return plain_findings(loaded[0].unionByName(loaded[1]))
+
+
+@query
+def scan_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan without its commit record is not listed, its rows are not seen, and sweeping takes them away."""
+    base, rows = new_folder(spark, "registry"), finding_rows(spark, sf_dir)
+    store.write_scans(rows, base, "findings")
+    store.write_scans(scan_rows(rows.where("scan_id <> 1001")), base, "scans")
+    counted = lambda kind, df: df.groupBy("scan_id").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "scan_id", "n")
+    listed = store.list_scans(spark, base).select(F.lit("listed").alias("kind"), "scan_id", F.col("docs_scanned").alias("n"))
+    seen, left = counted("seen", store.read(spark, base, "findings")), counted("unfinished", store.unfinished(spark, base))
+    before = listed.unionByName(seen).unionByName(left)
+    rows_of = before.collect()  # six rows: the folder is swept below
+    swept = store.sweep(spark, base, 0)
+    after = counted("kept", store.read(spark, base, "findings", committed=False))
+    return spark.createDataFrame(rows_of, before.schema).unionByName(after).unionByName(
+        spark.createDataFrame([("swept", None, swept)], before.schema))
+
+
+@query
+def scan_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings and figures are written as JSON, read back as columns and filtered by a nested field."""
+    base = new_folder(spark, "settings")
+    rows = finding_rows(spark, sf_dir).withColumn("scan_id", (10 + F.col("start") % 40).cast("bigint"))
+    score = (F.col("scan_id") % 4 / 10).cast("double")
+    settings = F.to_json(F.struct(F.lit("folder").alias("source"), score.alias("min_score"), F.lit([1, 2]).alias("of_a_later_version")))
+    store.write_scans(scan_rows(rows, settings), base, "scans")
+    chosen = store.list_scans(spark, base).where("settings.min_score >= 0.2 and settings.limit is null")
+    return chosen.select("scan_id", F.col("settings.source").alias("source"), F.col("settings.min_score").alias("min_score"),
+                         F.col("stats.docs_scanned").alias("docs_scanned"), F.col("stats.level_counts")["High"].alias("high"))
+
+
+@query
+def document_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings of single documents, from a table that is stored by range of their id."""
+    base, rows = new_folder(spark, "lookup"), finding_rows(spark, sf_dir)
+    store.write(rows, base, "findings", 7)
+    store.write_scans(scan_rows(rows.withColumn("scan_id", F.lit(7).cast("bigint"))), base, "scans")
+    frames = [plain_findings(store.find(spark, base, "findings", 7, f"DOC-{k}")) for k in (1, 55, 199, 123456789)]
+    return frames[0].unionByName(frames[1]).unionByName(frames[2]).unionByName(frames[3])
+
+
+@query
+def unique_across_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct identifiers over three scans: exact, and whether merged sketches of the scans come within a twentieth of it."""
+    identifier = F.struct(F.upper("lang").alias("id_group"), F.sha2((F.col("n_chars") * 7 + F.col("doc_id") % 5).cast("string"), 256).alias("digest"))
+    rows = table(spark, sf_dir, "documents").select((F.col("doc_id") % 3).alias("scan"), F.array(identifier).alias("digests"))
+    sketches = [RP.unique_sketches(rows.where(F.col("scan") == k)) for k in range(3)]
+    about = RP.unique_of_sketches(sketches[0].unionByName(sketches[1]).unionByName(sketches[2]))
+    exact = RP.unique_identifiers(rows)
+    close = F.abs(F.col("about") - F.col("unique_values")) * 20 <= F.col("unique_values")
+    return exact.join(about.withColumnRenamed("unique_values", "about"), "id_group").select("id_group", "unique_values", close.alias("close"))
+
+
+@query
+def ordered_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with quotes and line ends, exported in order and read back with types."""
+    text = F.concat(F.col("text"), F.lit(' said "'), F.col("role"), F.lit('",\nand more'))
+    rows = table(spark, sf_dir, "conversations").select(F.concat_ws(".", "conv_id", "turn").alias("path"), text.alias("reason"),
+                                                        (F.col("conv_id") % 1000 / 10).cast("decimal(5,1)").alias("risk_score"), "turn")
+    path = store.export_csv({"turns": rows.orderBy(F.desc("risk_score"), "path")}, new_folder(spark, "export"))["turns"]
+    back = store.read_export(spark, path, "path string, reason string, risk_score decimal(5,1), turn bigint")
+    return back.select("path", "reason", dbl("risk_score").alias("risk_score"), "turn")
+
+
+@query
+def nested_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as lines of text files in folders of folders, beside files of other kinds; read back as documents."""
+    folder = new_folder(spark, "nested")
+    line = F.translate(F.concat_ws(": ", "role", "text"), "\r\n", "  ")
+    rows = table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") % 3).cast("int").alias("a"), (F.floor(F.col("conv_id") / 300)).cast("int").alias("b"), "conv_id", "turn", line.alias("line"))
+    placed = rows.repartition("a", "b").sortWithinPartitions("a", "b", "conv_id", "turn").select("line", "a", "b")
+    placed.write.partitionBy("a", "b").text(f"{folder}/in")
+    placed.write.partitionBy("a", "b").json(f"{folder}/in/other")
+    docs, skipped = files.read_folder(spark, folder)
+    of = lambda name: F.regexp_extract("source_path", f"/{name}=([0-9]+)/", 1).cast("int").alias(name)
+    return docs.select(of("a"), of("b"), "file_type", F.rtrim(F.col("text"), F.lit("\n")).alias("text")).join(skipped.select(F.lit(1).alias("x")), F.lit(True), "left_anti")
+
+
+@query
+def masked_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects of which some are no part of their text, and some end inside an address."""
+    address = F.concat(F.lit("t"), F.col("turn").cast("string"), F.lit(".x@mail.org"))
+    kind = F.col("conv_id") % 3
+    subject = F.when(kind == 0, F.concat(F.lit("Re "), address, F.lit(" and more"))).when(kind == 1, "Write to t").otherwise("Nothing")
+    text = F.when(kind == 1, F.concat(F.lit("Write to "), address, F.lit(" today"))).otherwise(F.concat(F.lit("Body for "), address))
+    rows = table(spark, sf_dir, "conversations").select(F.concat_ws(".", "conv_id", "turn").alias("doc_id"), subject.alias("subject"), text.alias("text"))
+    docs = spread_small(rows).select("*", F.col("doc_id").alias("source_path"), F.lit("eml").alias("file_type"), F.lit("").alias("sender"),
+                                     F.lit(None).cast("timestamp").alias("date"), F.length("text").alias("char_count"), F.lit(False).alias("truncated"))
+    done = SN.scan_documents(docs, only("EMAIL_ADDRESS"), b"k")
+    return done.select("doc_id", "subject", "masked_snippet", big("finding_count").alias("finding_count"))

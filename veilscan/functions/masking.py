@@ -111,6 +111,12 @@ def masked_snippet(head: Column, total_chars: Column, findings: Column, max_char
     return F.concat(_replaced(head, shown, tag, F.lit(max_chars)), more)
 
 
+def masked_text(text: Column, findings: Column) -> Column:
+    """The whole text with every finding that begins in it masked, those that reach over its end too."""
+    inside = F.filter(findings, lambda f: f["start"] < F.length(text))
+    return _replaced(text, inside, lambda f: f["masked_value"], F.length(text))
+
+
 def redact_text(text: Column, findings: Column, skip: tuple[str, ...] = ("DATE_TIME",)) -> Column:
     """Text with every finding replaced by ``<TYPE>``; skipped types stay readable."""
     shown = F.filter(findings, lambda f: ~f["entity_type"].isin(*skip))

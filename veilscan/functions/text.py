@@ -58,7 +58,7 @@ def top_folder(path: Column, root: str) -> Column:
     base = root.rstrip("/")
     absolute = F.startswith(path, F.lit("/"))
     under = F.startswith(path, F.lit(base + "/")) if base not in ("", ".") else ~absolute
-    inner = F.substring(path, len(base) + 2, 1_000_000) if base not in ("", ".") else path
+    inner = F.substring(path, F.lit(len(base) + 2), F.length(path)) if base not in ("", ".") else path
     parts = F.filter(F.split(inner, "/"), lambda p: (p != "") & (p != "."))
     inside = F.when(F.size(parts) > 1, F.get(parts, 0)).otherwise("(root folder)")
     all_parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))

@@ -66,6 +66,21 @@ def unique_identifiers(docs: DataFrame) -> DataFrame:
         F.count_distinct("digest").alias("unique_values"))
 
 
+#: Logarithm of a sketch's registers; the standard error of its estimate is about 0.8 / sqrt(2 ** SKETCH).
+SKETCH = 14
+
+
+def unique_sketches(docs: DataFrame) -> DataFrame:
+    """id_group, sketch: distinct identifiers of a scan as sketches of fixed size, to be merged with those of other scans."""
+    return docs.select(F.inline("digests")).groupBy("id_group").agg(F.hll_sketch_agg("digest", F.lit(SKETCH)).alias("sketch"))
+
+
+def unique_of_sketches(sketches: DataFrame) -> DataFrame:
+    """Distinct identifiers per group over any number of scans, about. Scans compare only if they were run with one key."""
+    merged = F.hll_sketch_estimate(F.hll_union_agg("sketch"))
+    return sketches.groupBy("id_group").agg(merged.alias("unique_values"))
+
+
 def unique_summary(unique: DataFrame) -> DataFrame:
     """One row: all identifiers, and the largest group as a lower bound for people."""
     return unique.agg(

@@ -28,30 +28,37 @@ class ScanResult:
     exports: dict[str, str]
 
 
-def masked_subject(subject: Column, text: Column, findings: Column) -> Column:
-    """Subject with the findings of the text in it masked.
-
-    A subject the text does not start with was never looked at, so it is withheld.
-    """
-    inside = F.filter(findings, lambda f: f["start"] < F.length(subject))
-    shown = masking.masked_snippet(subject, F.length(subject), inside, 1_000_000, markers=False)
-    return F.when(subject == "", "").when(F.startswith(text, subject), shown).otherwise("(withheld)")
+#: Between a subject and a text that does not begin with it: no match reaches over it, and no context test finds a word in it.
+_APART = "\n" + "~ " * 64 + "\n"
 
 
 def scan_documents(docs: DataFrame, settings: Settings = DEFAULT, key: bytes | None = None) -> DataFrame:
-    """Scored documents with masked findings, masked snippet and identifier digests.
+    """Scored documents with masked findings, masked subject and snippet, and identifier digests.
 
     ``docs`` has the columns of ``files.DOCUMENT_COLUMNS``. One narrow pass: the text is read
-    once, every derived column is computed beside it, and the text is dropped.
+    once, every derived column is computed beside it, and the text is dropped. A subject is mostly the beginning of the text; one that is
+    not is looked at in the same pass, in front of the text. Its findings mask the subject and count nowhere else.
     """
-    raw = D.with_raw_findings(docs, settings)
-    keyed = D.with_digests(SP.stage(raw, "findings", D.masked(F.col("found"))), settings, key)
-    snippet = masking.masked_snippet(F.left("text", F.lit(settings.snippet_chars)), F.length("text"),
-                                     F.col("findings"), settings.snippet_chars)
+    subject = F.coalesce("subject", F.lit(""))
+    own = (subject != "") & ~F.startswith(F.col("text"), subject)
+    shift = F.when(own, F.length(subject) + len(_APART)).otherwise(0)
+    looked = docs.select(
+        *[c for c in docs.columns if c not in ("text", "subject")], subject.alias("subject"), shift.alias("_shift"),
+        F.left("text", F.lit(settings.snippet_chars)).alias("_head"), F.length("text").alias("_chars"),
+        F.when(own, F.concat(subject, F.lit(_APART), F.col("text"))).otherwise(F.col("text")).alias("_looked"))
+    raw = SP.stage(D.with_raw_findings(looked, settings, "_looked").drop("_looked"), "_all", D.masked(F.col("found")))
+
+    def moved(xs: Column) -> Column:
+        behind = F.filter(xs, lambda f: f["start"] >= F.col("_shift"))
+        return F.transform(behind, lambda f: f.withField("start", f["start"] - F.col("_shift")).withField("end", f["end"] - F.col("_shift")))
+
+    of_text = SP.stage(raw.withColumn("found", moved(F.col("found"))), "findings", moved(F.col("_all")))
+    keyed = D.with_digests(of_text, settings, key)
+    snippet = masking.masked_snippet(F.col("_head"), F.col("_chars"), F.col("findings"), settings.snippet_chars)
     error = ["error"] if "error" in docs.columns else []
     masked = keyed.select(
         *error, "doc_id", F.col("source_path").alias("path"), "file_type", "sender", "date",
-        masked_subject(F.col("subject"), F.col("text"), F.col("findings")).alias("subject"),
+        masking.masked_text(F.col("subject"), F.col("_all")).alias("subject"),
         "char_count", "truncated", snippet.alias("masked_snippet"), "findings", "digests")
     return SC.score_documents(masked, settings)
 
@@ -90,9 +97,11 @@ def settings_record(source: str, path: str, limit: int | None, redact: bool,
 def run_scan(spark: SparkSession, parsed: DataFrame, base: str, source: str = "frame",
              root: str = "", settings: Settings = DEFAULT, limit: int | None = None, redact: bool = True,
              truth: DataFrame | None = None,
-             fetch: Callable[[list[str]], DataFrame] | None = None) -> ScanResult:
+             fetch: Callable[[list[str]], DataFrame] | None = None, key: bytes | None = None) -> ScanResult:
     """Scan documents and store everything under ``base``.
 
+    Distinct identifiers are also kept as sketches; scans with the same ``key`` can be counted together by them.
+
     ``parsed`` has the columns of ``files.DOCUMENT_COLUMNS`` and ``error``; rows with an error are skipped. It is read once.
     ``fetch`` gives (doc_id, text) for a handful of source paths, so that redaction does not
     read the corpus again; without it the document frame is filtered.
@@ -103,17 +112,18 @@ def run_scan(spark: SparkSession, parsed: DataFrame, base: str, source: str = "f
 
     # One pass over the text; everything below reads what it wrote. The settled table holds
     # masked values and keyed digests whose key is gone, never raw values.
-    rows = settle(scan_documents(parsed, settings))
+    rows = settle(scan_documents(parsed, settings, key))
     scanned = rows.where(F.col("error").isNull()).drop("error")
     skipped = rows.where(F.col("error").isNotNull()).select("path", "error")
     store.write(scanned, base, "documents", scan_id)
     store.write(D.explode_findings(scanned), base, "findings", scan_id)
     store.write(skipped, base, "skipped", scan_id)
+    store.write(RP.unique_sketches(scanned), base, "sketches", scan_id)
     # a count per identifier group, at most ten rows
     counts = [tuple(r) for r in RP.unique_identifiers(scanned).collect()]
     unique = spark.createDataFrame(counts, "id_group string, unique_values bigint")
 
-    documents, found = (store.read(spark, base, t, scan_id) for t in ("documents", "findings"))
+    documents, found = (store.read(spark, base, t, scan_id, committed=False) for t in ("documents", "findings"))
     top = []
     if redact:
         top = [r.path for r in RP.ranked_documents(scanned, settings.top_redacted).select("path").collect()]
@@ -126,13 +136,13 @@ def run_scan(spark: SparkSession, parsed: DataFrame, base: str, source: str = "f
     if truth is not None:
         matched = EV.match_truth(documents, truth, root)
         accuracy = EV.entity_accuracy(matched, settings)
-    n_skipped = store.read(spark, base, "skipped", scan_id).agg(F.count("*").alias("docs_skipped"))
+    n_skipped = store.read(spark, base, "skipped", scan_id, committed=False).agg(F.count("*").alias("docs_skipped"))
     row = CP.beside(stats, n_skipped).select(
         started.alias("started_at"), F.current_timestamp().alias("finished_at"),
         F.lit(f"{source}:{root}").alias("source"), "docs_scanned", "docs_skipped",
         settings_record(source, root, limit, redact, settings).alias("settings_json"),
         F.to_json(F.struct(*stats.columns)).alias("stats_json"))
-    paths = store.export_csv(store.exports(scanned, unique, accuracy), f"{base}/exports")
+    paths = store.export_csv(store.exports(scanned, unique, accuracy), f"{base}/exports/{scan_id}")
     store.write(row, base, "scans", scan_id)
     return ScanResult(scan_id, documents, found, store.read(spark, base, "skipped", scan_id),
                       store.read(spark, base, "redactions", scan_id), stats, paths)
