@@ -12,12 +12,13 @@ differ by from the first. The last one is summed in the tasks, term by term, so
 
 * Null text, lang and source count as ''. Rows need no id; repeated rows count as often as they occur.
 * Groups without terms, and languages without kept terms, have their pairs (value 0 if V = 0). An empty table gives an empty result.
-* Ties in value are ordered by item. A very long text is one array of terms in a task. Other columns are not read.
+* Ties in value are ordered by item. A very long text is one list of terms in a task. Other columns are not read.
 * Languages are listed on the driver and fitted one after the other.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from zlib import crc32
 
@@ -29,8 +30,10 @@ from pyspark.sql import functions as F
 
 from veilscan.llm.common import filled, new_path, settle
 
-TERM_GAP = "[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: For each byte of UTF-8 what it is in a term, A-Z in lower case, or 0 where it is in none.
+_LETTER = np.arange(256, dtype=np.uint8)
+_LETTER[:128] = 0
+_LETTER[ord("a") : ord("z") + 1] = _LETTER[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
 MIN_DOCS = 3
 MAX_VOCABULARY = (1 << 31) - 1
 #: Distinct terms that are fitted together, about.
@@ -42,14 +45,46 @@ TOP = 200
 GUARD = "\x00"
 #: Groups up to which their table is broadcast; more are joined by shuffles.
 SMALL = 1 << 16
+#: Bytes of text that are cut into terms together.
+JOINED = 1 << 22
 #: Entries of vectors that a task holds before it sums them.
 HELD = 1 << 21
 #: Pairs of sources that are worked out in one step.
 AT_ONCE = 1 << 20
 
 
-def terms(text: Column) -> Column:
-    return F.array_remove(F.split(F.translate(text, UPPER, LOWER), TERM_GAP), "")
+def _groups(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Texts that are cut into terms together; a longer one alone."""
+    group, size = [], 0
+    for text in texts:
+        group.append(text)
+        size += len(text) + 1
+        if size >= JOINED:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+def term_lists(texts: list[bytes]) -> pa.ListArray:
+    """The terms of each text, in lower case."""
+    joined = _LETTER[np.frombuffer(b" ".join(texts), np.uint8)]
+    inside = joined != 0
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    begins, ends = edges[::2], edges[1::2]
+    offsets = np.concatenate([[0], np.cumsum(ends - begins)]).astype(np.int32)
+    values = pa.StringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(joined[inside]))
+    starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(begins, starts), pa.int32()), values)
+
+
+def _listed(batches):
+    for batch in batches:
+        low = 0
+        for group in _groups([t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]):
+            rest = batch.slice(low, len(group))
+            yield pa.RecordBatch.from_arrays([term_lists(group), rest.column(1), rest.column(2)], ["terms", "source", "lang_no"])
+            low += len(group)
 
 
 def probability(count: Column, whole: Column) -> Column:
@@ -75,8 +110,9 @@ def _counted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     langs = [r.lang for r in docs.select("lang").distinct().orderBy("lang").collect()]
     number = F.create_map(*[F.lit(x) for k, lang in enumerate(langs) for x in (lang, k)])[F.col("lang")] if langs else F.lit(0)
     path = new_path(spark, "terms")
-    docs.select(number.alias("lang_no"), "source", terms(F.col("text")).alias("terms")).write.partitionBy("lang_no").parquet(path)
-    own = spark.read.schema("source string, terms array<string>, lang_no int").parquet(path)
+    schema = "terms array<string>, source string, lang_no int"
+    docs.select("text", "source", number.alias("lang_no")).mapInArrow(_listed, schema).write.partitionBy("lang_no").parquet(path)
+    own = spark.read.schema(schema).parquet(path)
     sizes = own.select("lang_no", F.explode("terms").alias("term")).groupBy("lang_no").agg(F.approx_count_distinct("term").alias("n"))
     distinct = {r.lang_no: r.n for r in sizes.collect()}
     counts, kept = spark.createDataFrame([], "lang string, source string, term string, count long"), []
