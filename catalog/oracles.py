@@ -259,10 +259,10 @@ WITH b AS (SELECT o_orderkey AS doc_id, {X.aadhaar_body('o_orderkey')} AS body F
 n AS (SELECT doc_id, body || cast({_INV}[{verhoeff('body', 1)} + 1] AS varchar) AS n FROM b),
 r AS (SELECT doc_id, CASE cast(doc_id % 5 AS int)
     WHEN 0 THEN [{{'k': 'BANK_ACCOUNT', 's': 12, 'v': n, 'c': 0.6}}]
-    WHEN 1 THEN [{{'k': 'BANK_ACCOUNT', 's': 13, 'v': '4111111111111111', 'c': 0.6}}]
-    WHEN 2 THEN [{{'k': 'CREDIT_CARD', 's': 5, 'v': '4111111111111111', 'c': 1.0}}]
-    WHEN 3 THEN [{{'k': 'IN_PHONE', 's': 8, 'v': '+91 98765 43210', 'c': 0.55}}]
-    ELSE [{{'k': 'BANK_ACCOUNT', 's': 8, 'v': '9876543210', 'c': 0.6}}, {{'k': 'SALARY', 's': 30, 'v': '₹85,000', 'c': 0.55}}] END AS f FROM n),
+    WHEN 1 THEN [{{'k': 'BANK_ACCOUNT', 's': 13, 'v': '4532017488265037', 'c': 0.6}}]
+    WHEN 2 THEN [{{'k': 'CREDIT_CARD', 's': 5, 'v': '4532017488265037', 'c': 1.0}}]
+    WHEN 3 THEN [{{'k': 'IN_PHONE', 's': 8, 'v': '+91 81234 09876', 'c': 0.55}}]
+    ELSE [{{'k': 'BANK_ACCOUNT', 's': 8, 'v': '6543219870', 'c': 0.6}}, {{'k': 'SALARY', 's': 30, 'v': '₹91,250', 'c': 0.55}}] END AS f FROM n),
 u AS (SELECT doc_id, unnest(f) AS x FROM r)
 SELECT doc_id, x.k AS entity_type, cast(x.s AS bigint) AS start_at, cast(x.s + length(x.v) AS bigint) AS end_at,
        x.v AS value, cast(x.c AS double) AS confidence FROM u"""

@@ -252,10 +252,10 @@ def resolve_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.expr(X.aadhaar_body("o_orderkey"))
     number = F.concat(body, checks.verhoeff_check_digit(body))
     text = (F.when(key % 5 == 0, F.concat(F.lit("Account No: "), number))
-            .when(key % 5 == 1, F.lit("Bank account 4111111111111111"))
-            .when(key % 5 == 2, F.lit("Card 4111111111111111 charged, bank account follows"))
-            .when(key % 5 == 3, F.lit("Mobile: +91 98765 43210"))
-            .otherwise(F.lit("Account 9876543210, salary is ₹85,000")))
+            .when(key % 5 == 1, F.lit("Bank account 4532017488265037"))
+            .when(key % 5 == 2, F.lit("Card 4532017488265037 charged, bank account follows"))
+            .when(key % 5 == 3, F.lit("Mobile: +91 81234 09876"))
+            .otherwise(F.lit("Account 6543219870, salary is ₹91,250")))
     docs = table(spark, sf_dir, "orders").select(key.alias("doc_id"), text.alias("text"))
     return spans_of(docs, *DEFAULT.entities)
 

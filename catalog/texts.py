@@ -28,24 +28,24 @@ CUSTOMER_NAMES = (
     f" else 'Thanks, Mr.' || repeat(' ', cast(1 + c_custkey % 70 as int)) || 'Anil Kumar ' || {_SEGMENT} || ' #' || cast(c_custkey as string) end"
 )
 SUPPLIER_MAIL = (
-    "'Pay me on UPI s' || cast(s_suppkey as string) || '.x@' || case cast(s_suppkey % 4 as int) when 0 then 'okaxis'"
+    "'Rent is due at the handle s' || cast(s_suppkey as string) || '.x@' || case cast(s_suppkey % 4 as int) when 0 then 'okaxis'"
     " when 1 then 'notabank' when 2 then 'paytm.com' else 'YBL' end"
-    " || ' or write to s' || cast(s_suppkey as string) || '@mail' || cast(s_suppkey % 7 as string) || '.example.com today'"
+    " || '; statements reach s' || cast(s_suppkey as string) || '@mail' || cast(s_suppkey % 7 as string) || '.example.com today'"
 )
 ORDER_ACCOUNT = (
-    "case cast(o_orderkey % 4 as int) when 0 then 'Please credit A/c No ' when 1 then 'The shipment reference is '"
-    " when 2 then 'Bank details were sent before. This filler text pushes the label away: ' else 'Accountant memo ' end"
+    "case cast(o_orderkey % 4 as int) when 0 then 'Kindly settle into A/c No ' when 1 then 'The parcel code reads '"
+    " when 2 then 'The bank wrote last week. Some more words stand here, far from any label, then ' else 'Accountability list ' end"
     " || cast(100000000000 + o_orderkey * 7919 as string) || ' today'"
 )
 _AMOUNT = "cast(cast(floor(o_totalprice) as bigint) as string)"
 ORDER_SALARY = (
-    f"case cast(o_orderkey % 4 as int) when 0 then 'Net Salary (INR): ' || {_AMOUNT}"
-    f" when 1 then 'Your monthly salary is ₹' || {_AMOUNT} || ' from April'"
-    f" when 2 then 'Invoice value for the milestone is INR ' || {_AMOUNT}"
-    f" else 'The offered CTC is ' || cast(o_orderkey % 40 + 1 as string) || ' LPA plus joining gift' end"
+    f"case cast(o_orderkey % 4 as int) when 0 then 'Take home salary (INR): ' || {_AMOUNT}"
+    f" when 1 then 'From autumn on the salary is ₹' || {_AMOUNT} || ' a month'"
+    f" when 2 then 'The bill for the roof comes to INR ' || {_AMOUNT}"
+    f" else 'We can go up to a CTC of ' || cast(o_orderkey % 40 + 1 as string) || ' LPA with a desk' end"
 )
 TURN_HEALTH = (
-    "text || case cast((conv_id + turn) % 4 as int) when 0 then ' Patient was diagnosed with diabetes and needs insulin.'"
+    "text || case cast((conv_id + turn) % 4 as int) when 0 then ' He lay in bed with jaundice, then appendicitis.'"
     " when 1 then ' Hospitalised after Surgery; blood test pending.' when 2 then ' The hospitality team met.' else '' end"
 )
 _N = "cast(c_custkey % 9973 as string)"

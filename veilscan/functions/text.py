@@ -9,24 +9,36 @@ MAIL_ZONES = {"AST": "-0400", "ADT": "-0300", "EST": "-0500", "EDT": "-0400", "C
               "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
 
 
-def _blanked(text: Column, pattern: str, start: str) -> Column:
-    """Matches become blanks, but for a match that is the pattern's group, which begins with ``start`` and stays."""
-    marked = F.regexp_replace(text, pattern, "\u0002$1")
-    return F.regexp_replace(F.regexp_replace(marked, rf"\u0002(?={start})", ""), "\u0002", " ")
+def _bound(value: Column, body) -> Column:
+    """body(value) with the value worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _without_blocks(text: Column, name: str) -> Column:
+    """Blocks of a tag become blanks. What stands behind the last closing tag holds none, so it is not looked through again and again."""
+    def cut(head: Column) -> Column:
+        return F.concat(F.regexp_replace(head, rf"(?is)<{name}.*?</{name}>", " "), F.substring(text, F.length(head) + 1, F.length(text)))
+
+    return F.when(text.rlike(f"(?i)</{name}>"), _bound(F.regexp_extract(text, f"(?is)^.*</{name}>", 0), cut)).otherwise(text)
+
+
+def _without_tags(text: Column) -> Column:
+    """Tags become blanks; behind the last ``>`` there is none."""
+    tail = F.substring_index(text, ">", -1)
+    return _bound(tail, lambda t: F.concat(F.regexp_replace(F.left(text, F.length(text) - F.length(t)), r"<[^>]+>", " "), t))
 
 
 def strip_html(html: Column) -> Column:
     """Readable text of a simple page: blocks and scripts out, breaks to newlines, tags to spaces.
 
-    A block that is never closed stays. It is matched up to the end of the text and put back, so that many of
-    them are looked through once; script blocks go before style blocks."""
-    text = html
-    for name in ("script", "style"):
-        text = _blanked(text, rf"(?is)<{name}.*?</{name}>|(<{name}.*)", rf"(?i)<{name}")
-    # fixed values: the patterns here and above
-    text = F.regexp_replace(text, r"(?i)<br\s*/?>|</p>|</div>|</tr>", "\n")
-    text = _blanked(text, r"<[^>]+>|(<[^>]+)", "<")
-    return F.regexp_replace(text, r"[ \t]+", " ")
+    A block that is never closed stays, as does a tag; script blocks go before style blocks."""
+    def tagged(text: Column) -> Column:
+        # fixed values: the patterns here and above
+        broken = F.regexp_replace(text, r"(?i)<br\s*/?>|</p>|</div>|</tr>", "\n")
+        return _bound(broken, _without_tags)
+
+    clean = _bound(html, lambda t: _bound(_without_blocks(t, "script"), lambda u: _bound(_without_blocks(u, "style"), tagged)))
+    return F.regexp_replace(F.when(F.contains(html, F.lit("<")), clean).otherwise(html), r"[ \t]+", " ")
 
 
 def join_subject(subject: Column, body: Column) -> Column:

@@ -143,8 +143,9 @@ def _reach(ends: Column) -> Column:
         return F.transform(highest, lambda _, t: F.coalesce(F.array_max(F.slice(highest, F.lit(1), t)), F.lit(0)))
 
     # by way of blocks of blocks, so that very many spans do not cost the square of their number
-    return let(_block_tops(ends), lambda tops: let(_block_tops(tops), lambda highest: let(
+    through = let(_block_tops(ends), lambda tops: let(_block_tops(tops), lambda highest: let(
         starts_of(highest), lambda s: let(ahead(tops, s), lambda prior: ahead(ends, prior)))))
+    return F.when(F.size(ends) <= _BLOCK, starts_of(ends)).otherwise(through)
 
 
 def _islands(xs: Column) -> Column:

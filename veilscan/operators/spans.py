@@ -78,7 +78,8 @@ def _block_starts(lengths: Column) -> Column:
         return let(starts, lambda ts: F.transform(sums, lambda _, b: F.element_at(
             ts, F.floor(b / _BLOCK).cast("int") + 1) + _total(F.slice(sums, F.floor(b / _BLOCK).cast("int") * _BLOCK + 1, b % _BLOCK))))
 
-    return let(_block_sums(lengths), lambda s: let(_block_sums(s), lambda t: within(s, t)))
+    through = let(_block_sums(lengths), lambda s: let(_block_sums(s), lambda t: within(s, t)))
+    return F.when(F.size(lengths) <= _BLOCK, F.array(F.lit(0))).otherwise(through)
 
 
 def starts(lengths: Column) -> Column:

@@ -55,10 +55,15 @@ def _wanted(files: DataFrame, settings: Settings) -> DataFrame:
     return files.where(~name.isin(*settings.excluded_names) & ~F.startswith(name, F.lit("~$")))
 
 
-def first_paths(spark: SparkSession, folder: str, limit: int, settings: Settings = DEFAULT) -> list[str]:
-    """The first ``limit`` file paths; only paths are read, and only ``limit`` reach the driver."""
+def _listed_path() -> Column:
+    """The path of a file as a function of its listing alone, so that a filter on it is applied before any file is opened."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
+def last_path(spark: SparkSession, folder: str, limit: int, settings: Settings = DEFAULT) -> str | None:
+    """The path of the ``limit``-th file, or of the last one if there are fewer: all that the driver gets of the listing."""
     listed = _wanted(_binary(spark, folder, settings.extensions).select("path"), settings)
-    return [r.path for r in listed.orderBy("path").limit(limit).collect()]
+    return listed.orderBy("path").limit(limit).agg(F.max("path")).first()[0]
 
 
 def _literal_path(path: str) -> str:
@@ -125,9 +130,7 @@ def read_folder(spark: SparkSession, folder: str, limit: int | None = None,
 
 def parsed_folder(spark: SparkSession, folder: str, limit: int | None = None, settings: Settings = DEFAULT) -> DataFrame:
     """The same as one frame, with ``error``."""
-    if limit:
-        return _read(spark, [_literal_path(p) for p in first_paths(spark, folder, limit, settings)], settings)
-    return _read(spark, folder, settings)
+    return _read(spark, folder, settings, last_path(spark, folder, limit, settings) if limit else None)
 
 
 def read_paths(spark: SparkSession, paths: list[str], settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
@@ -135,10 +138,11 @@ def read_paths(spark: SparkSession, paths: list[str], settings: Settings = DEFAU
     return split(_read(spark, [_literal_path(p) for p in paths], settings))
 
 
-def _read(spark: SparkSession, where: str | list[str], settings: Settings) -> DataFrame:
+def _read(spark: SparkSession, where: str | list[str], settings: Settings, last: str | None = None) -> DataFrame:
     # two listings by name, so that no file is read for a branch that does not parse it
     groups = [tuple(e for e in settings.extensions if (e == "txt") == plain) for plain in (False, True)]
-    frames = [parsed_files(_binary(spark, where, g), settings.with_(extensions=g)) for g in groups if g]
+    listed = [(_binary(spark, where, g), settings.with_(extensions=g)) for g in groups if g]
+    frames = [parsed_files(f if last is None else f.where(_listed_path() <= last), own) for f, own in listed]
     return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
 
 
