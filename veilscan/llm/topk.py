@@ -7,8 +7,9 @@ is the query's product with the components at the places reached. It stops when
 one could still win a tie), or when it has met all. Each task gives at most k rows per query; the best k of
 these are the result.
 
-* Components are floor(scale * x) of x as double. Vectors that are null, or hold a null, nan or infinite component, take no part, nor do rows
-  without an id. Components beyond +-2^27 count as +-2^27, so that scores are exact.
+* Components are floor(scale * x) of x as double, as 64-bit integers up to +-2^62. Vectors that are null, or hold a null, nan or infinite
+  component, take no part, nor do rows without an id. Scores are summed in a type in which they are exact, whole numbers of any length where
+  64 bits do not hold them; such a score is ranked by its exact value and shown as the largest or least 64-bit integer.
 * Missing components of shorter vectors count as 0; a vector without components scores 0.
 * Of rows with one id the greatest vector counts. A query never finds its own id. Ties go to the smaller id.
 * An empty table, or no queries, gives an empty result. Other columns are not read.
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 
 K = 20
 SCALE = 64
-LARGEST = float(1 << 27)
+LARGEST = float(1 << 62)
+#: Bytes of a score by which results are put in order.
+KEY = 20
 #: Vectors in a block, about: candidates, and queries.
 CANDIDATES = 8192
 QUERIES = 512
@@ -38,7 +41,7 @@ def whole(vector: Column, scale: int = SCALE) -> Column:
     """Integer components, or null if the vector takes no part."""
     x = vector.cast("array<double>")
     fit = ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    return F.when(fit, F.transform(x, lambda v: F.greatest(F.least(F.floor(F.greatest(F.least(v * scale, F.lit(LARGEST)), F.lit(-LARGEST))), F.lit(int(LARGEST))), F.lit(-int(LARGEST))).cast("int")))
+    return F.when(fit, F.transform(x, lambda v: F.floor(F.greatest(F.least(v * scale, F.lit(LARGEST)), F.lit(-LARGEST)))))
 
 
 class Lists:
@@ -78,7 +81,7 @@ class Lists:
             kept, scores = np.concatenate([kept, new]), np.concatenate([scores, self.vectors[new] @ query])
             depth, step = to, step * GROWTH
             if len(kept) > k:
-                kth = np.partition(scores, len(scores) - k)[len(scores) - k]
+                kth = _kth(scores, k)
                 good = scores >= kth
                 kept, scores = kept[good], scores[good]
                 if weights @ self.values[lists, depth - 1] < kth:
@@ -89,27 +92,38 @@ class Lists:
         return self.ids[kept[order]], scores[order]
 
 
-def _matrix(vectors: pd.Series, dims: int, dtype) -> np.ndarray:
+def _kth(scores: np.ndarray, k: int):
+    """The kth largest."""
+    place = len(scores) - k
+    return np.sort(scores)[place] if scores.dtype == object else np.partition(scores, place)[place]
+
+
+def _matrix(vectors: list[np.ndarray], dims: int, dtype) -> np.ndarray:
     out = np.zeros((len(vectors), dims), dtype)
     for row, v in zip(out, vectors, strict=True):
-        row[: len(v)] = v
+        row[: len(v)] = v.tolist() if dtype is object else v
     return out
 
 
+_TOP = (1 << 63) - 1
+
+
 def _searcher(k: int) -> Callable:
     def search(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if candidates.empty or queries.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        dims = max(1, *map(len, candidates["v"]), *map(len, queries["v"]))
-        most = [max((int(np.abs(v).max(initial=0)) for v in side["v"]), default=0) for side in (candidates, queries)]
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "key": []})
+        of = [[w if v is None else v for v, w in zip(side["v"], side["w"], strict=True)] for side in (candidates, queries)]
+        dims = max(1, *map(len, of[0]), *map(len, of[1]))
+        most = [max((int(np.abs(v).max(initial=0)) for v in side), default=0) for side in of]
         bound = dims * most[0] * most[1]
         # a type in which all sums are exact
-        dtype = np.float32 if bound < 1 << 24 else np.float64 if bound < 1 << 53 else np.int64
-        lists = Lists(candidates["id"].to_numpy(np.int64), _matrix(candidates["v"], dims, dtype))
-        found = [lists.best(i, q, k) for i, q in zip(queries["id"].to_numpy(np.int64), _matrix(queries["v"], dims, dtype), strict=True)]
+        dtype = np.float32 if bound < 1 << 24 else np.float64 if bound < 1 << 53 else np.int64 if bound < 1 << 63 else object
+        lists = Lists(candidates["id"].to_numpy(np.int64), _matrix(of[0], dims, dtype))
+        found = [lists.best(i, q, k) for i, q in zip(queries["id"].to_numpy(np.int64), _matrix(of[1], dims, dtype), strict=True)]
+        scores = [int(s) for f in found for s in f[1]]
         return pd.DataFrame({
-            "query_id": np.repeat(queries["id"].to_numpy(np.int64), [len(f[0]) for f in found]),
-            "vec_id": np.concatenate([f[0] for f in found]), "score": np.concatenate([f[1] for f in found]).astype(np.int64)})
+            "query_id": np.repeat(queries["id"].to_numpy(np.int64), [len(f[0]) for f in found]), "vec_id": np.concatenate([f[0] for f in found]),
+            "score": np.array([max(-_TOP - 1, min(_TOP, s)) for s in scores], np.int64), "key": [(s + (1 << 8 * KEY - 1)).to_bytes(KEY, "big") for s in scores]})
 
     return search
 
@@ -122,13 +136,16 @@ def _dealt(rows: DataFrame, own: str, blocks: int, other: str, others: int) -> D
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of the k best candidates of each row for which ``is_query`` (of column ``id``) holds."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), whole(F.col(vector_col), scale).alias("v"))
-    rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull()).groupBy("id").agg(F.max("v").alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), whole(F.col(vector_col), scale).alias("w"))
+    rows = rows.where(F.col("id").isNotNull() & F.col("w").isNotNull()).groupBy("id").agg(F.max("w").alias("w"))
+    # nearly all vectors need half the bytes
+    small = ~F.exists("w", lambda c: F.abs(c) >= 1 << 31)
+    rows = rows.select("id", F.when(small, F.col("w").cast("array<int>")).alias("v"), F.when(~small, F.col("w")).alias("w"))
     # an upper bound of the sizes is enough for the number of blocks
     n, n_queries = vectors.select(F.col(id_col).cast("long").alias("id")).agg(F.count("id"), F.count_if(is_query)).first()
     blocks, query_blocks = max(1, -(-n // CANDIDATES)), max(1, -(-n_queries // QUERIES))
     candidates = _dealt(rows, "block", blocks, "query_block", query_blocks)
     queries = _dealt(rows.where(is_query), "query_block", query_blocks, "block", blocks)
-    found = candidates.groupBy("block", "query_block").cogroup(queries.groupBy("block", "query_block")).applyInPandas(_searcher(k), "query_id long, vec_id long, score long")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = candidates.groupBy("block", "query_block").cogroup(queries.groupBy("block", "query_block")).applyInPandas(_searcher(k), "query_id long, vec_id long, score long, key binary")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("key"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
