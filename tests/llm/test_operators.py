@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -64,6 +65,28 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(frame.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def brute_top(rows, k):
+    good = {i: [math.floor(64 * x) for x in v] for i, v in rows}
+    out = set()
+    for q in good:
+        if q % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(good[q], v, strict=True)), i) for i, v in good.items() if i != q)[:k]
+            out |= {(q, n + 1, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for n, (s, i) in enumerate(best)}
+    return out
+
+
+@pytest.mark.parametrize("largest", [1e3, 3e6, 1e12, 4e16])
+def test_top_k_of_large_components_over_small_blocks(spark, monkeypatch, largest):
+    """Scores of 64 bits and beyond are exact, in whatever type; ties reach over the borders of blocks."""
+    monkeypatch.setattr(topk, "CANDIDATES", 40)
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    rng = np.random.default_rng(6)
+    rows = [(k, [float(x) for x in rng.integers(-3, 4, 4) * largest / 3 + rng.integers(0, 2, 4)]) for k in range(200)]
+    rows += [(k, [0.5, -0.25, 0.0, 1.0]) for k in range(200, 260)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {tuple(r) for r in topk.top_k(frame, F.col("id") % 20 == 0, k=7).select("query_id", "rank", "vec_id", "score").collect()} == brute_top(rows, 7)
+
+
 def brute_components(rows):
     def shingle_set(text):
         words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
