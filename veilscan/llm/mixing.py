@@ -3,7 +3,8 @@
 A source's target is its weight's part of the mix, at most ``most`` times the source's own words; what is above is shared out
 again among the others. Whole copies that fit in the target are certain. What is left of it is drawn: document i gets an
 inclusion probability p that grows with the square root of its words, and the order key
-``[u / (1 - u)] / [p / (1 - p)]`` with a u from a hash of its id. Documents with the smallest keys are
+``[u / (1 - u)] / [p / (1 - p)]`` with a u from a hash of its id. Where p would be 1 or more the document is certain, and the others share
+what words are left, until no p reaches 1. Documents with the smallest keys, certain ones first, are
 in the sample. Targets are in words, so the sample's fixed size is one too: the first documents whose words come nearest to the rest.
 
 * Null or empty texts have no words; they are never taken. A null source is a source of its own, the last.
@@ -63,15 +64,42 @@ def root(size: Column) -> Column:
 def order_key(doc_id: Column, size: Column, inclusion: Column) -> Column:
     text = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), size.cast("string"))
     u = (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
-    return F.when(inclusion <= 0, F.lit(float("inf"))).otherwise((u / (1 - u)) / (inclusion / (1 - inclusion)))
+    return (F.when(inclusion >= 1, 0.0).when(inclusion <= 0, F.lit(float("inf")))
+            .otherwise((u / (1 - u)) / (inclusion / (1 - inclusion))))
 
 
-def keyed(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """Rows with what the plan says of their source, and their key. The plan has a row per source; Spark broadcasts it while it is small."""
+def _of_source(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows with what the plan says of their source. The plan has a row per source; Spark broadcasts it while it is small."""
     plan = plan.withColumnRenamed("source", "plan_source")
-    share = F.when(F.col("root_size") > 0, F.col("rest") * root(F.col("size")) / F.col("root_size")).otherwise(0.0)
-    return (rows.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
-            .withColumn("key", order_key(F.col("doc_id"), F.col("size"), F.least(share, F.lit(0.999999))))
+    return rows.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
+
+
+def with_certain(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """The plan with ``sure`` (documents with a root of at least that are certain), and words to draw and root sum of the others (``free``, ``roots``).
+
+    Each pass over the sizes takes in the documents whose p reaches 1 now; when none is new, it is done."""
+    now = plan.withColumns({"sure": F.lit(float("inf")), "free": F.col("rest"), "roots": F.col("root_size"), "n_sure": F.lit(0).cast("long")})
+    while True:
+        at_one = F.col("roots") / F.when(F.col("free") > 0, F.col("free"))
+        trial = settle(now.withColumn("limit", F.least("sure", at_one)), "trial")
+        words = _of_source(rows.select("source", "size"), trial.select("source", "limit")).where((F.col("size") > 0) & (root(F.col("size")) >= F.col("limit")))
+        sums = words.groupBy("source").agg(F.sum("size").alias("words"), F.sum(F.col("size") * root(F.col("size"))).alias("their_roots"), F.count("*").alias("n"))
+        found = sums.withColumnRenamed("source", "sum_source")
+        with_sums = trial.join(found, F.col("source").eqNullSafe(F.col("sum_source")), "left").where(F.col("n") > F.col("n_sure"))
+        new = settle(with_sums.select("source", F.col("limit").alias("new_sure"), (F.col("rest") - F.col("words")).alias("new_free"),
+                                      (F.col("root_size") - F.col("their_roots")).alias("new_roots"), "n"), "certain")
+        if new.isEmpty():
+            return now
+        both = now.join(new.withColumnRenamed("source", "new_source"), F.col("source").eqNullSafe(F.col("new_source")), "left")
+        now = settle(both.select(*plan.columns, F.coalesce("new_sure", "sure").alias("sure"), F.coalesce("new_free", "free").alias("free"),
+                                 F.coalesce("new_roots", "roots").alias("roots"), F.coalesce("n", "n_sure").alias("n_sure")), "plan")
+
+
+def keyed(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows with what the plan says of their source, and their key."""
+    own = root(F.col("size"))
+    share = F.when((F.col("size") > 0) & (own >= F.col("sure")), 1.0).when((F.col("roots") > 0) & (F.col("free") > 0), F.col("free") * own / F.col("roots")).otherwise(0.0)
+    return (_of_source(rows, plan).withColumn("key", order_key(F.col("doc_id"), F.col("size"), share))
             .withColumn("at", F.struct("key", F.coalesce("doc_id", F.lit(-1)).alias("id"), "size")))
 
 
@@ -106,7 +134,7 @@ def copies() -> Column:
 
 def plan_of(rows: DataFrame) -> DataFrame:
     """Targets and cuts of sized rows, one row per source, as a table."""
-    return settle(cuts(rows, settle(targets(rows), "targets")), "plan")
+    return settle(cuts(rows, with_certain(rows, settle(targets(rows), "targets"))), "plan")
 
 
 def mixed(docs: DataFrame) -> DataFrame:

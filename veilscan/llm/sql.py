@@ -38,11 +38,21 @@ t AS (SELECT source, source_size, root_size,
                   THEN (SELECT free FROM last) / (SELECT sum(weight) FROM weighted, last WHERE list_contains(open, k)) * weight
                   ELSE 2.0 * source_size END AS target FROM weighted),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
-r AS (SELECT d.doc_id, d.size, p.*, target - whole * source_size AS rest,
+-- documents whose share reaches 1 are certain, the others share what is left
+trim AS (
+  SELECT source, 0 AS step, 'inf'::DOUBLE AS sure, target - whole * source_size AS free, root_size::DOUBLE AS roots, 0::BIGINT AS n FROM p
+  UNION ALL
+  SELECT x.source, x.step + 1, any_value(x.at_one), any_value(p.target - p.whole * p.source_size) - sum(x.size), any_value(p.root_size) - sum(x.size * x.r), count(*)
+  FROM (SELECT t.source, t.step, t.n, t.roots / t.free AS at_one, e.size, e.r FROM trim t
+        JOIN (SELECT source, size, floor(sqrt(size::DOUBLE) * 16)::BIGINT AS r FROM d WHERE size > 0) e
+        ON e.source IS NOT DISTINCT FROM t.source AND t.free > 0 AND t.roots / t.free < t.sure AND e.r >= t.roots / t.free) x
+  JOIN p ON p.source IS NOT DISTINCT FROM x.source GROUP BY x.source, x.step HAVING count(*) > any_value(x.n)),
+sure AS (SELECT source AS sure_source, arg_max(sure, step) AS sure, arg_max(free, step) AS free, arg_max(roots, step) AS roots FROM trim GROUP BY source),
+r AS (SELECT d.doc_id, d.size, p.*, sure, free, roots, target - whole * source_size AS rest, floor(sqrt(d.size::DOUBLE) * 16)::BIGINT AS own,
              (('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '') || '|' || d.size::VARCHAR), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
-      FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
-q AS (SELECT *, least(CASE WHEN root_size > 0 THEN rest * floor(sqrt(size::DOUBLE) * 16)::BIGINT / root_size ELSE 0 END, 0.999999) AS i FROM r),
-o AS (SELECT *, CASE WHEN i <= 0 THEN 'inf'::DOUBLE ELSE (u / (1 - u)) / (i / (1 - i)) END AS ord, coalesce(doc_id, -1) AS id FROM q),
+      FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source JOIN sure ON d.source IS NOT DISTINCT FROM sure_source),
+q AS (SELECT *, CASE WHEN size > 0 AND own >= sure THEN 1 WHEN roots > 0 AND free > 0 THEN free * own / roots ELSE 0 END AS i FROM r),
+o AS (SELECT *, CASE WHEN i >= 1 THEN 0 WHEN i <= 0 THEN 'inf'::DOUBLE ELSE (u / (1 - u)) / (i / (1 - i)) END AS ord, coalesce(doc_id, -1) AS id FROM q),
 c AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY ord, id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o),
 cut AS (SELECT source, max(row(ord, id, size)) AS cut FROM c WHERE size > 0 AND 2 * before + size <= 2 * rest GROUP BY source)
 SELECT doc_id, size, source_size, target,
