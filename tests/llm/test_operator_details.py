@@ -136,3 +136,38 @@ def test_token_files_of_several_parts(spark, tmp_path):
     assert manifest.agg(F.sum("n_docs")).first()[0] == 400
     found = sorted((r.start, r.doc_id, r.n_tokens) for r in token_files.read(manifest, str(tmp_path / "ids")).collect())
     assert [r[1] for r in found] == list(range(400)) and all(a[0] + a[2] == b[0] for a, b in zip(found, found[1:], strict=False))
+
+
+# ---- mixing
+
+
+def test_documents_whose_share_reaches_one_are_certain(spark):
+    from veilscan.llm import mixing
+
+    rng = random.Random(4)
+    rows = [(k, ["a", "b", None][k % 3], int(rng.paretovariate(0.7) * 5)) for k in range(300)] + [(900, "a", 0), (901, "c", 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    parts = {"a": 0.97, "b": 0.5, None: 0.999, "c": 0.0}
+    plan, want = [], {}
+    for source, part in parts.items():
+        sizes = [n for _, s, n in rows if s == source]
+        roots = [math.floor(math.sqrt(n) * 16) for n in sizes]
+        rest, root_sum = part * sum(sizes), sum(n * r for n, r in zip(sizes, roots, strict=True))
+        plan.append((source, sum(sizes), root_sum, rest, 0, rest))
+        sure, free, left = math.inf, rest, root_sum
+        while free > 0 and left / free < sure and any(r >= left / free and n for n, r in zip(sizes, roots, strict=True)):
+            new = left / free
+            taken = [(n, r) for n, r in zip(sizes, roots, strict=True) if r >= new and n]
+            if len(taken) == len([r for n, r in zip(sizes, roots, strict=True) if r >= sure and n]):
+                break
+            sure, free, left = new, rest - sum(n for n, _ in taken), root_sum - sum(n * r for n, r in taken)
+        want[source] = sure, free, left
+    plan = spark.createDataFrame(plan, "source string, source_size long, root_size long, target double, whole long, rest double")
+    got = {r.source: (r.sure, r.free, r.roots) for r in mixing.with_certain(frame, plan).collect()}
+    assert got.keys() == want.keys() and want["a"][0] < math.inf and want["b"][0] == math.inf
+    for source in want:
+        assert np.allclose(got[source], want[source], rtol=1e-12)
+    cut = mixing.cuts(frame, mixing.with_certain(frame, plan))
+    drawn = mixing.keyed(frame, cut).where(mixing.copies() > 0).select("doc_id").collect()
+    certain = {k for k, s, n in rows if n and math.floor(math.sqrt(n) * 16) >= want[s][0]}
+    assert certain and certain <= {r.doc_id for r in drawn}
