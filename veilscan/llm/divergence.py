@@ -45,6 +45,8 @@ TOP = 200
 GUARD = "\x00"
 #: Groups up to which their table is broadcast; more are joined by shuffles.
 SMALL = 1 << 16
+#: Distinct terms are counted among one in so many kinds of them, to tell how many fits a language needs.
+SAMPLED = 16
 #: Bytes of text that are cut into terms together.
 JOINED = 1 << 22
 #: Entries of vectors that a task holds before it sums them.
@@ -66,16 +68,20 @@ def _groups(texts: list[bytes]) -> Iterator[list[bytes]]:
         yield group
 
 
-def term_lists(texts: list[bytes]) -> pa.ListArray:
-    """The terms of each text, in lower case."""
+def term_lists(texts: list[bytes]) -> tuple[pa.ListArray, pa.ListArray]:
+    """The terms of each text, in lower case; and those of one in SAMPLED kinds of terms, told by the sum of their bytes."""
     joined = _LETTER[np.frombuffer(b" ".join(texts), np.uint8)]
     inside = joined != 0
     edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     begins, ends = edges[::2], edges[1::2]
-    offsets = np.concatenate([[0], np.cumsum(ends - begins)]).astype(np.int32)
-    values = pa.StringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(joined[inside]))
-    starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(begins, starts), pa.int32()), values)
+    letters, offsets = joined[inside], np.concatenate([[0], np.cumsum(ends - begins)])
+    values = pa.StringArray.from_buffers(len(begins), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(letters))
+    sums = np.add.reduceat(letters, offsets[:-1], dtype=np.int64) if len(begins) else offsets[:0]
+    sampled = sums % SAMPLED == 0
+    starts = np.searchsorted(begins, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    before = np.concatenate([[0], np.cumsum(sampled)])
+    return (pa.ListArray.from_arrays(pa.array(starts, pa.int32()), values),
+            pa.ListArray.from_arrays(pa.array(before[starts], pa.int32()), values.filter(pa.array(sampled))))
 
 
 def _listed(batches):
@@ -83,7 +89,7 @@ def _listed(batches):
         low = 0
         for group in _groups([t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]):
             rest = batch.slice(low, len(group))
-            yield pa.RecordBatch.from_arrays([term_lists(group), rest.column(1), rest.column(2)], ["terms", "source", "lang_no"])
+            yield pa.RecordBatch.from_arrays([*term_lists(group), rest.column(1), rest.column(2)], ["terms", "sampled", "source", "lang_no"])
             low += len(group)
 
 
@@ -110,14 +116,14 @@ def _counted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     langs = [r.lang for r in docs.select("lang").distinct().orderBy("lang").collect()]
     number = F.create_map(*[F.lit(x) for k, lang in enumerate(langs) for x in (lang, k)])[F.col("lang")] if langs else F.lit(0)
     path = new_path(spark, "terms")
-    schema = "terms array<string>, source string, lang_no int"
+    schema = "terms array<string>, sampled array<string>, source string, lang_no int"
     docs.select("text", "source", number.alias("lang_no")).mapInArrow(_listed, schema).write.partitionBy("lang_no").parquet(path)
     own = spark.read.schema(schema).parquet(path)
-    sizes = own.select("lang_no", F.explode("terms").alias("term")).groupBy("lang_no").agg(F.approx_count_distinct("term").alias("n"))
-    distinct = {r.lang_no: r.n for r in sizes.collect()}
+    sizes = own.select("lang_no", F.explode("sampled").alias("term")).groupBy("lang_no").agg(F.approx_count_distinct("term").alias("n"))
+    distinct = {r.lang_no: r.n * SAMPLED for r in sizes.collect()}
     counts, kept = spark.createDataFrame([], "lang string, source string, term string, count long"), []
     for k, lang in enumerate(langs):
-        parts = [_fitted(x) for x in _parts(own.where(F.col("lang_no") == k).drop("lang_no"), -(-distinct.get(k, 0) // VOCABULARY))]
+        parts = [_fitted(x) for x in _parts(own.where(F.col("lang_no") == k).select("terms", "source"), -(-distinct.get(k, 0) // VOCABULARY))]
         counts = reduce(DataFrame.unionByName, [c.withColumn("lang", F.lit(lang)) for c, _ in parts], counts)
         kept.append((lang, sum(v for _, v in parts)))
     return counts, spark.createDataFrame(kept, "lang string, v long")
@@ -187,13 +193,15 @@ def _fitted(docs: DataFrame) -> tuple[DataFrame, int]:
     spark = docs.sparkSession
     guard = spark.range(MIN_DOCS).select(F.lit("").alias("source"), F.array(F.lit(GUARD)).alias("terms"))
     model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(MIN_DOCS), vocabSize=MAX_VOCABULARY).fit(docs.unionByName(guard))
-    kept = model.vocabulary
-    words = spark.createDataFrame(pa.table({"index": pa.array(range(len(kept)), pa.int32()), "term": pa.array(kept, pa.string())}))
+    path = new_path(spark, "vocabulary")
+    model.write().save(path)
+    vocabulary = spark.read.schema("vocabulary array<string>").parquet(f"{path}/data")
+    words = vocabulary.select(F.posexplode("vocabulary").alias("index", "term"))
     vector = F.unwrap_udt(F.col("vector"))
     vectors = model.transform(docs).select("source", vector["indices"].alias("indices"), vector["values"].alias("values"))
     parts = vectors.mapInArrow(_summed, "source string, index int, count long")
     sums = parts.groupBy("source", "index").agg(F.sum("count").alias("count"))
-    return settle(sums.join(words, "index").select("source", "term", "count"), "sums"), len(kept) - 1
+    return settle(sums.join(words, "index").select("source", "term", "count"), "sums"), vocabulary.select(F.size("vocabulary")).first()[0] - 1
 
 
 def _of_both(batches):
