@@ -23,12 +23,15 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from veilscan.llm.units import Units
+from veilscan.llm.units import KEPT_FIELDS, Units
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 SHIFT = 256
 #: Pre-tokens encoded at a time, so that a huge text needs no list of all its parts.
 PART = 1 << 16
+#: Rows whose ids are held and sent on together, and fields that a task keeps beside ids that it sends on.
+ROWS = 512
+KEPT_WITH_IDS = 100_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -86,9 +89,9 @@ class ByteBpe:
         self.pieces = [to_bytes(self.model.id_to_piece(i)) for i in range(len(tokens))]
         self.pattern = regex.compile(pattern)
 
-    def units(self) -> Units:
+    def units(self, kept: int = KEPT_FIELDS) -> Units:
         """A store of fields, which a task gives up at its end, so that idle workers hold none."""
-        return Units(self._encode_all)
+        return Units(self._encode_all, kept=kept)
 
     def _encode_parts(self, parts: list[bytes]) -> list[bytes]:
         out = [self.whole.get(p) for p in parts]
@@ -131,8 +134,8 @@ def encoded(docs: DataFrame, path: str = "", with_ids: bool = False) -> DataFram
 
     def rows(batches):
         bpe = coder(path or public_tokenizers.path(VOCABULARY))
-        units = bpe.units()
-        for batch in batches:
+        units = bpe.units(KEPT_WITH_IDS if with_ids else KEPT_FIELDS)
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             counts, id_sums, text_sums, kept = [], [], [], []
             for ids in units.encode_all(text.as_py() or "" for text in batch.column(1)):
                 counts.append(len(ids) // 4)
@@ -146,6 +149,7 @@ def encoded(docs: DataFrame, path: str = "", with_ids: bool = False) -> DataFram
                 columns.append(pa.array(kept, pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        pa.default_memory_pool().release_unused()
 
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
