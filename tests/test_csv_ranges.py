@@ -30,7 +30,7 @@ def made_file(seed, records, end="\n"):
 
 @pytest.fixture
 def small_ranges(spark):
-    keys = {"spark.sql.files.maxPartitionBytes": "97", "spark.sql.files.openCostInBytes": "1"}
+    keys = {"spark.sql.files.maxPartitionBytes": "397", "spark.sql.files.openCostInBytes": "1"}
     before = {k: spark.conf.get(k) for k in keys}
     for k, v in keys.items():
         spark.conf.set(k, v)
@@ -93,5 +93,5 @@ def test_states_of_lines():
 def test_a_mail_corpus_uses_many_tasks(spark, tmp_path, small_ranges):
     (tmp_path / "m.csv").write_text("file,message\n" + "".join(f'm{k},"Subject: S{k}\n\nbody ""{k}"""\n' for k in range(200)))
     read = C.read(spark, str(tmp_path / "m.csv"))
-    assert read.rdd.getNumPartitions() > 20
+    assert read.rdd.getNumPartitions() > 10
     assert ("m105", 'Subject: S105\n\nbody "105"') in rows(read)
