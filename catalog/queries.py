@@ -593,9 +593,9 @@ def far_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def as_files(rows: DataFrame, path: Column, content: Column) -> DataFrame:
-    """Rows as the file source gives them."""
-    return spread_small(rows.select(path.alias("path"), content.cast("binary").alias("content"),
-                                    F.lit("2024-03-01 10:00:00").cast("timestamp").alias("modificationTime")))
+    """Rows as the file source gives them, spread before their content is made."""
+    return spread_small(rows).select(path.alias("path"), content.cast("binary").alias("content"),
+                                     F.lit("2024-03-01 10:00:00").cast("timestamp").alias("modificationTime"))
 
 
 @query

@@ -22,6 +22,8 @@ from veilscan.sources.tables import rows_to_text
 
 DOCUMENT_COLUMNS = ("doc_id", "source_path", "file_type", "sender", "recipients", "date", "subject",
                     "text", "char_count", "truncated")
+#: Bytes of files, or characters of messages, that a task holds in parsed form at a time; a larger one alone.
+PARSED_AT_ONCE = 1 << 20
 
 
 def _any_case(extension: str) -> str:
@@ -122,6 +124,19 @@ def _assemble(parsed: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
+def in_pieces(batch: pd.DataFrame, column: str) -> Iterator[pd.DataFrame]:
+    """The rows of a batch, PARSED_AT_ONCE of a column at a time: what is parsed takes many times the room of what was read."""
+    low, held = 0, 0
+    for k, value in enumerate(batch[column]):
+        size = len(value) if value is not None else 0
+        if k > low and held + size > PARSED_AT_ONCE:
+            yield batch.iloc[low:k]
+            low, held = k, 0
+        held += size
+    if low < len(batch):
+        yield batch.iloc[low:]
+
+
 def read_folder(spark: SparkSession, folder: str, limit: int | None = None,
                 settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """Every supported file below a folder, or the first ``limit`` of them by path."""
@@ -151,7 +166,7 @@ def parsed_files(files: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     max_rows = settings.max_table_rows
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in in_pieces(whole, "content")):
             records = [P.attempt(P.PARSERS[kind], bytes(content), max_rows)
                        for kind, content in zip(batch["file_type"], batch["content"])]
             yield pd.concat([batch[["path", "file_type", "mtime"]],
@@ -212,7 +227,7 @@ def parsed_messages(rows: DataFrame, settings: Settings = DEFAULT, prefix: str =
     """The same as one frame, with ``error``."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in in_pieces(whole, "message")):
             records = [P.attempt(P.parse_mail_text, m) for m in batch["message"]]
             yield pd.concat([batch[["file"]], pd.DataFrame(records, index=batch.index)], axis=1)
 
