@@ -149,15 +149,15 @@ def blank_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "risk_level", dbl("risk_score").alias("risk_score"), big("finding_count").alias("finding_count"), "reason")
 
 
-def _aadhaar_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = F.expr(X.aadhaar_body("l_orderkey * 10 + l_linenumber"))
-    return table(spark, sf_dir, "lineitem").withColumn("body", body)
+def _aadhaar_keys(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """The distinct keys, and the body that follows from them."""
+    keys = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *more).distinct()
+    return keys.withColumn("body", F.expr(X.aadhaar_body("l_orderkey * 10 + l_linenumber")))
 
 
 @query
 def aadhaar_verhoeff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _aadhaar_keys(spark, sf_dir).select(
-        "l_orderkey", "l_linenumber", "body", (F.col("l_partkey") % 10).alias("given")).distinct()
+    rows = _aadhaar_keys(spark, sf_dir, (F.col("l_partkey") % 10).alias("given"))
     given = F.concat("body", F.col("given").cast("string"))
     return rows.select("l_orderkey", "l_linenumber", "body", checks.verhoeff_check_digit(F.col("body")).alias("check_digit"),
                        checks.verhoeff_valid(given).alias("given_is_valid"), big("given").alias("given"))
@@ -172,7 +172,7 @@ def aadhaar_label_score(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(kind == 2, F.concat(F.lit("Account No: 77 | Aadhaar: "), n))
             .when(kind == 3, F.concat(F.lit("Aadhaar "), spaced))
             .otherwise(F.concat(F.lit("Parcel "), n, F.lit(" left"))))
-    docs = (_aadhaar_keys(spark, sf_dir).select("l_orderkey", "l_linenumber", "body").distinct()
+    docs = (_aadhaar_keys(spark, sf_dir)
             .withColumn("check", checks.verhoeff_check_digit(F.col("body")).cast("int"))
             # every third number carries a wrong check digit
             .withColumn("n", F.concat("body", F.when(F.col("l_orderkey") % 3 == 0, (F.col("check") + 1) % 10)

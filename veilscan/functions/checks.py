@@ -42,8 +42,27 @@ _POS = _positions()
 _INVERSE = [next(b for b in range(10) if _D5[a * 10 + b] == 0) for a in range(10)]
 
 
+#: Digits up to which a number is worked out as one chain of look-ups, which Spark compiles; a fold runs step by step.
+UNROLLED = 12
+
+
+def _verhoeff_chain(number: Column, shift: int) -> Column:
+    """The same as the fold for at most ``UNROLLED`` digits. A digit that is absent has code 0 and changes nothing."""
+    found = F.lit(0)
+    for i in range(UNROLLED):
+        row = (i + shift) % 8 * 10
+        permuted = F.get(_ints([0] * ord("0") + _POS[row:row + 10]), F.ascii(F.substring(number, -1 - i, 1)))
+        found = F.get(_ints(_D5), found * 10 + permuted)
+    return found
+
+
 def _verhoeff_fold(number: Column, shift: int) -> Column:
     """Fold a digit string from its right end; ``shift`` is 1 when the check digit is missing."""
+    short = number.rlike(rf"^[0-9]{{1,{UNROLLED}}}\z")
+    return F.when(short, _verhoeff_chain(number, shift)).otherwise(_verhoeff_steps(number, shift))
+
+
+def _verhoeff_steps(number: Column, shift: int) -> Column:
     digits = F.transform(F.split(F.reverse(number), ""), lambda d: d.cast("int"))
 
     def step(acc: Column, digit: Column) -> Column:

@@ -172,9 +172,11 @@ def resolve(spans: Column) -> Column:
     The whole struct is the sort key, so the order is total and results are deterministic.
     """
 
+    def alone(island: Column) -> Column:
+        return (F.size(island) == 1) & ~is_ner(F.get(island, 0)["entity_type"])
+
     def one(island: Column) -> Column:
-        lone = (F.size(island) == 1) & ~is_ner(F.get(island, 0)["entity_type"])
-        return F.when(lone, F.transform(island, _as_finding)).otherwise(fold_island(island))
+        return F.when(alone(island), F.transform(island, _as_finding)).otherwise(fold_island(island))
 
     folded = let(F.array_sort(spans), lambda xs: F.flatten(F.transform(_islands(xs), one)))
-    return F.when(F.size(spans) > 0, folded).otherwise(F.transform(F.slice(spans, 1, 0), _as_finding))
+    return F.when(alone(spans), F.transform(spans, _as_finding)).when(F.size(spans) > 0, folded).otherwise(F.transform(F.slice(spans, 1, 0), _as_finding))

@@ -127,6 +127,14 @@ def _pieces(text: Column, rule: R.Rule) -> Column:
     return F.when(F.col("_gate_" + rule.gate) & found if rule.gate else found, cut)
 
 
+def _judged(verdict: Column, score: Column) -> Column:
+    return let(verdict, lambda v: F.when(v.isNull(), score).when(v, F.lit(1.0)))
+
+
+def _adjusted(rule: R.Rule, before: Column, score: Column) -> Column:
+    return let(score, lambda s: rule.adjust(before, s))
+
+
 def _confidence(rules: tuple[R.Rule, ...], hit: Column, span: Column, boost: float) -> Column:
     """Score of a match, NULL when the rule rejects it."""
     value, before, after = span["value"], span["before"], span["after"]
@@ -134,10 +142,9 @@ def _confidence(rules: tuple[R.Rule, ...], hit: Column, span: Column, boost: flo
     for number, rule in enumerate(rules):
         score = F.lit(float(rule.score))
         if rule.validate:
-            verdict = rule.validate(value)
-            score = F.when(verdict.isNull(), score).when(verdict, F.lit(1.0))
+            score = _judged(rule.validate(value), score)
         if rule.adjust:
-            score = rule.adjust(before, score)
+            score = _adjusted(rule, before, score)
         if rule.context:
             score = F.when(rule.context(before, after), score)
         if boost and rule.boost_words:
