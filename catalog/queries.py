@@ -585,7 +585,8 @@ def far_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An identifier behind the 200,000th character of a message."""
     key = F.col("s_suppkey").cast("string")
     message = F.concat(F.lit("Subject: Long\n\n"), F.expr(X.FAR), F.lit("PAN: ABCPK"), F.lpad(key, 4, "0"), F.lit("F"))
-    rows = spread_small(table(spark, sf_dir, "supplier").select(key.alias("file"), message.alias("message")))
+    # spread as short keys: the messages are 10,000 times their size
+    rows = spread_small(table(spark, sf_dir, "supplier")).select(key.alias("file"), message.alias("message"))
     docs, _ = files.read_messages(rows)
     raw = D.with_raw_findings(docs.select("source_path", "text", "truncated"), only("IN_PAN"))
     return raw.select("source_path", "truncated", F.inline("found")).select(
