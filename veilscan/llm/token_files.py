@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilscan.llm.common import new_path, settle
-from veilscan.llm.units import Units
+from veilscan.llm.units import IdUnits
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 2
@@ -39,8 +39,8 @@ HEADER = struct.Struct("<8sII")
 FOOTER = struct.Struct("<QQQ8s")
 #: Fields that a Python worker keeps.
 KEPT = 1_000_000
-#: Fields encoded as one text.
-JOINED = 200
+#: Texts that the library is given in one call.
+ASKED = 64
 #: Documents read from a file at a time.
 AT_ONCE = 512
 
@@ -145,11 +145,11 @@ class Reader:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
 
-_LOADED: dict[str, tuple[Units, int]] = {}
+_LOADED: dict[str, tuple[IdUnits, int]] = {}
 
 
-def tokenizer(path: str) -> tuple[Units, int]:
-    """Texts to ids (little-endian unsigned 32-bit) by the tokenizers library, and the vocabulary's size; once in a Python worker.
+def tokenizer(path: str) -> tuple[IdUnits, int]:
+    """Texts to ids by the tokenizers library, and the vocabulary's size; once in a Python worker.
 
     A text with the string of an added token goes through the library whole."""
     if path not in _LOADED:
@@ -163,22 +163,11 @@ def tokenizer(path: str) -> tuple[Units, int]:
         for token, k in library.get_vocab().items():
             lengths[k] = len(token)  # a byte-level token has a character for each byte
 
-        def encode(texts: list[str]) -> list[bytes]:
-            if len(texts) < 2 or texts[0][0] != " " or any(" " in a for a in added):
-                return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in library.encode_batch_fast(texts, add_special_tokens=False)]
-            # fields with their blank stand alone, so many are encoded as one text and cut where their bytes end
-            parts = [texts[k : k + JOINED] for k in range(0, len(texts), JOINED)]
-            out = []
-            for part, found in zip(parts, library.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False), strict=True):
-                ids = np.asarray(found.ids, "<u4")
-                ends = np.searchsorted(np.cumsum(lengths[ids]), np.cumsum([len(t.encode()) for t in part])) + 1
-                data, begin = ids.tobytes(), 0
-                for end in (4 * ends).tolist():
-                    out.append(data[begin:end])
-                    begin = end
-            return out
-
-        _LOADED[path] = Units(encode, lambda text: any(a in text for a in added), KEPT), library.get_vocab_size()
+        def encode(texts: list[str]) -> list[list[int]]:
+            parts = (texts[k : k + ASKED] for k in range(0, len(texts), ASKED))
+            return [e.ids for part in parts for e in library.encode_batch_fast(part, add_special_tokens=False)]
+
+        _LOADED[path] = IdUnits(encode, lengths, not any(" " in a for a in added), lambda text: any(a in text for a in added), KEPT), library.get_vocab_size()
     return _LOADED[path]
 
 
@@ -203,7 +192,7 @@ def write(docs: DataFrame, folder: str, path: str = "", end: int = END) -> DataF
                 writer = Writer(stream, bits_for(max(size, end + 1)))
             ids = batch.column(0).to_pylist()
             for doc_id, found in zip(ids, units.encode_all(t.as_py() or "" for t in batch.column(1)), strict=True):
-                writer.add(doc_id, np.concatenate([np.frombuffer(found, "<u4"), last]))
+                writer.add(doc_id, np.concatenate([found, last]))
         if writer is not None:
             writer.close()
             stream.close()
