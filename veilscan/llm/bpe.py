@@ -23,6 +23,7 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from veilscan.llm.common import in_small_batches
 from veilscan.llm.units import KEPT_FIELDS, Units
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -153,4 +154,4 @@ def encoded(docs: DataFrame, path: str = "", with_ids: bool = False) -> DataFram
 
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return docs.select("doc_id", "text").mapInArrow(rows, schema + (", ids binary" if with_ids else ""))
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(rows, schema + (", ids binary" if with_ids else ""))

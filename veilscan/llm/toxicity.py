@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.llm.common import settle
+from veilscan.llm.common import in_small_batches, settle
 
 TRAIN_ROWS = 10_000
 THRESHOLD = 0.3
@@ -238,7 +238,7 @@ def chosen_stems(counts: list[tuple[str, int, int]], documents: list[list[str]],
 
 
 def fitted(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    training = training_rows(docs, labels, rows)
+    training = training_rows(in_small_batches(docs), labels, rows)
     total, toxic = training.agg(F.count("*"), F.sum("label")).first()
     insults = dict.fromkeys(INSULTS, 1.0)
     if not toxic or toxic == total:
@@ -285,13 +285,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[dict[str, fl
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of each row."""
     score = _score(model)(F.col("text"))
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))
+    rows = in_small_batches(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows that are not predicted to be toxic."""
-    return docs.where(_score(model)(F.col("text")) < THRESHOLD)
+    return in_small_batches(docs).where(_score(model)(F.col("text")) < THRESHOLD)
 
 
 def _score(model: Model):
